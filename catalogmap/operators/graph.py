@@ -16,13 +16,12 @@ MAX_ROUNDS = 80
 
 
 def core_distances(near: DataFrame, min_samples: int) -> DataFrame:
-    """(id, core): distance to the ``min_samples``-th nearest row, the row itself counted as the first.
+    """(id, core): distance to the ``min_samples``-th nearest other row.
 
-    ``near`` holds at least ``min_samples - 1`` ranks per row; a row with fewer has no core distance.
+    In a table with fewer rows the last rank in ``near`` stands in; ``near`` must otherwise hold
+    ``min_samples`` ranks.
     """
-    if min_samples <= 1:
-        return near.select("id").distinct().withColumn("core", F.lit(0.0))
-    return near.where(F.col("rank") == min_samples - 1).select("id", F.col("dist").alias("core"))
+    return near.where(F.col("rank") <= min_samples).groupBy("id").agg(F.max("dist").alias("core"))
 
 
 def undirected(near: DataFrame) -> DataFrame:
