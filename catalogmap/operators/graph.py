@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalogmap.session import cut
+from catalogmap.session import cut, cut_counted
 
 MAX_ROUNDS = 80
 
@@ -52,12 +52,12 @@ def follow_pointers(pointers: DataFrame) -> DataFrame:
     """(a, root) from (a, p): pointer jumping to the fixed points, which have p = a."""
     current = pointers
     for _ in range(MAX_ROUNDS):
-        for _ in range(2):  # two jumps per written round
+        for _ in range(2):  # two jumps per written round; the last one shows whether anything moved
             hop = current.select(F.col("a").alias("p"), F.col("p").alias("_pp"))
-            current = current.join(hop, "p").select("a", F.col("_pp").alias("p"))
-        current = cut(current)
-        up = current.select(F.col("a").alias("p"), F.col("p").alias("_pp"))
-        if current.join(up, "p").where(F.col("p") != F.col("_pp")).isEmpty():
+            current = current.select("a", "p").join(hop, "p").select("a", "_pp", (F.col("_pp") != F.col("p")).alias("moved"))
+            current = current.withColumnRenamed("_pp", "p")
+        current, moved = cut_counted(current, F.col("moved"))
+        if not moved:
             return current.select("a", F.col("p").alias("root"))
     raise RuntimeError("pointer jumping did not settle")
 
@@ -67,35 +67,39 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> Da
 
     ``edges`` has u and v. In every round a node joins the neighbour (or itself) with the least
     hashed priority and equal edges merge, so the graph shrinks by a constant share on average
-    whatever its shape; the rounds' mappings are then composed.
+    whatever its shape; the rounds' mappings are composed at the end.
     """
-    live = cut(
+    live, n_live = cut_counted(
         edges.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).where("a <> b").distinct()
     )
     every = live.select(F.col("a").alias("id")).union(live.select("b"))
     if nodes is not None:
         every = every.union(nodes.select("id"))
-    labels = cut(every.distinct().withColumn("c", F.col("id")))
+    labels = every.distinct().withColumn("c", F.col("id"))
     for step in range(MAX_ROUNDS):
-        if live.isEmpty():
+        if not n_live:
             break
         priority = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(step)).alias("h"), F.col(c).alias("n"))
-        best = (
+        best = cut(
             _both_ways(live)
             .groupBy("a")
             .agg(F.min(priority("b")).alias("m"))
             .select("a", F.least(F.col("m"), priority("a"))["n"].alias("m"))
         )
+        for _ in range(2):  # follow the choices: still inside the component, and paths shorten faster
+            hop = best.select(F.col("a").alias("m"), F.col("m").alias("_mm"))
+            best = best.join(hop, "m").select("a", F.col("_mm").alias("m"))
         best = cut(best)
         ma = best.withColumnRenamed("m", "ma")
         mb = best.select(F.col("a").alias("b"), F.col("m").alias("mb"))
         moved = live.join(ma, "a").join(mb, "b").where("ma <> mb")
-        live = cut(moved.select(F.least("ma", "mb").alias("a"), F.greatest("ma", "mb").alias("b")).distinct())
-        labels = cut(
-            labels.join(best.withColumnRenamed("a", "c"), "c", "left").select("id", F.coalesce("m", "c").alias("c"))
-        )
+        live, n_live = cut_counted(moved.select(F.least("ma", "mb").alias("a"), F.greatest("ma", "mb").alias("b")).distinct())
+        labels = labels.join(best.withColumnRenamed("a", "c"), "c", "left").select("id", F.coalesce("m", "c").alias("c"))
+        if step % 4 == 3:
+            labels = cut(labels)
     else:
         raise RuntimeError("components did not settle")
+    labels = cut(labels)
     smallest = labels.groupBy("c").agg(F.min("id").alias("component"))
     return labels.join(smallest, "c").select("id", "component")
 
@@ -107,23 +111,21 @@ def edge_key(w: str = "w", u: str = "u", v: str = "v"):
 
 def min_spanning_forest(edges: DataFrame) -> DataFrame:
     """(u, v, w): the minimum spanning forest, by Borůvka rounds on a contracted edge table."""
-    live = cut(
+    live, n_live = cut_counted(
         edges.where("u <> v").select(F.col("u").alias("a"), F.col("v").alias("b"), edge_key().alias("e"))
     )
     chosen: DataFrame | None = None
     for _ in range(MAX_ROUNDS):
-        if live.isEmpty():
+        if not n_live:
             break
-        pick = cut(
-            _both_ways(live, "e").groupBy("a").agg(F.min(F.struct("e", "b")).alias("m")).select("a", "m.e", "m.b")
-        )
+        pick = cut(least_edges(_both_ways(live, "e")))
         new = pick.select("e").distinct()
         chosen = new if chosen is None else chosen.unionByName(new)
-        roots = follow_pointers(_rooted(pick))
+        roots = follow_pointers(rooted(pick))
         ra = roots.withColumnRenamed("root", "ra")
         rb = roots.select(F.col("a").alias("b"), F.col("root").alias("rb"))
         moved = live.join(ra, "a").join(rb, "b").where("ra <> rb")
-        live = cut(
+        live, n_live = cut_counted(
             moved.groupBy(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).agg(F.min("e").alias("e"))
         )
     else:
@@ -133,9 +135,14 @@ def min_spanning_forest(edges: DataFrame) -> DataFrame:
     return cut(chosen.select("e.u", "e.v", "e.w"))
 
 
-def _rooted(pick: DataFrame) -> DataFrame:
+def least_edges(arcs: DataFrame, *rest: str) -> DataFrame:
+    """(a, e, b, rest…): the least edge that leaves each node."""
+    best = F.min(F.struct("e", "b", *rest)).alias("m")
+    return arcs.groupBy("a").agg(best).select("a", "m.e", "m.b", *[f"m.{r}" for r in rest])
+
+
+def rooted(pick: DataFrame) -> DataFrame:
     """(a, p): every node points along its least edge; the smaller end of a mutual pair is the root."""
     back = pick.select(F.col("a").alias("b"), F.col("b").alias("_back"))
-    return pick.join(back, "b", "left").select(
-        "a", F.when((F.col("_back") == F.col("a")) & (F.col("a") < F.col("b")), F.col("a")).otherwise(F.col("b")).alias("p")
-    )
+    mutual = (F.col("_back") == F.col("a")) & (F.col("a") < F.col("b"))
+    return pick.join(back, "b", "left").select("a", F.when(mutual, F.col("a")).otherwise(F.col("b")).alias("p"))

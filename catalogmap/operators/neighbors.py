@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from catalogmap.operators.ranking import sample_exact, top_k_per_group
 from catalogmap.session import cut, fresh, salt_of
 
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 1024
 MAX_PIVOTS = 4096
 MAX_BROADCAST_BYTES = 64 << 20
 _DUP_SALTS = 32
@@ -34,9 +34,14 @@ def stack(vectors: pd.Series) -> np.ndarray:
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances of all rows of ``a`` to all rows of ``b``."""
-    d2 = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
-    return np.sqrt(np.maximum(d2, 0.0))
+    """Euclidean distances of all rows of ``a`` to all rows of ``b``; close pairs without cancellation."""
+    scale = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :]
+    d2 = scale - 2.0 * (a @ b.T)
+    close = d2 < 1e-6 * scale
+    for i in np.flatnonzero(close.any(1)):
+        cols = np.flatnonzero(close[i])
+        d2[i, cols] = ((a[i] - b[cols]) ** 2).sum(1)
+    return np.sqrt(d2)
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -52,6 +52,14 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_counted(df: DataFrame, condition: Column | None = None) -> tuple[DataFrame, int]:
+    """:func:`cut`, and the number of rows (that meet ``condition``), counted while writing."""
+    seen = Observation()
+    counted = F.count(F.lit(1)) if condition is None else F.count_if(condition)
+    out = cut(df.observe(seen, counted.alias("n")))
+    return out, seen.get.get("n") or 0
+
+
 def salt_of(salts: int, *cols: str | Column) -> Column:
     """A repeatable salt from the row's own columns (never from a random draw)."""
     return F.pmod(F.xxhash64(*cols), F.lit(salts)).cast("int")
