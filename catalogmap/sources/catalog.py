@@ -16,17 +16,26 @@ from catalogmap.functions.text import top_key
 
 _CORRUPT = "_corrupt_record"
 
-BOOKS_RAW = T.StructType.fromDDL(
-    "book_id string, title string, description string, publisher string, language_code string, "
-    "average_rating string, ratings_count string, text_reviews_count string, num_pages string, "
-    "work_id string, series array<string>, authors array<struct<author_id:string>>, "
-    "popular_shelves array<struct<name:string>>"
+_TEXT = T.StringType()
+
+
+def _schema(*texts: str, **others: T.DataType) -> T.StructType:
+    fields = [T.StructField(n, _TEXT) for n in texts] + [T.StructField(n, t) for n, t in others.items()]
+    return T.StructType(fields)
+
+
+BOOKS_RAW = _schema(
+    *"book_id title description publisher language_code average_rating ratings_count".split(),
+    *"text_reviews_count num_pages work_id".split(),
+    series=T.ArrayType(_TEXT),
+    authors=T.ArrayType(_schema("author_id")),
+    popular_shelves=T.ArrayType(_schema("name")),
 )
-AUTHORS_RAW = T.StructType.fromDDL("author_id string, name string, average_rating string")
-WORKS_RAW = T.StructType.fromDDL("work_id string, original_publication_year string, original_title string")
-SERIES_RAW = T.StructType.fromDDL("series_id string, title string")
-GENRES_RAW = T.StructType.fromDDL("book_id string, genres map<string,bigint>")
-REVIEWS_RAW = T.StructType.fromDDL("book_id string, review_text string, rating string, n_votes string")
+AUTHORS_RAW = _schema("author_id", "name", "average_rating")
+WORKS_RAW = _schema("work_id", "original_publication_year", "original_title")
+SERIES_RAW = _schema("series_id", "title")
+GENRES_RAW = _schema("book_id", genres=T.MapType(_TEXT, T.LongType()))
+REVIEWS_RAW = _schema("book_id", "review_text", "rating", "n_votes")
 
 MAX_SHELVES = 10
 
@@ -34,18 +43,18 @@ MAX_SHELVES = 10
 def read_ndjson(
     spark: SparkSession, path: str, schema: T.StructType, sample: int | None = None, strict: bool = False
 ) -> DataFrame:
-    """Newline JSON with a fixed schema; ``sample`` keeps the first rows; ``strict`` fails on a bad line."""
-    if strict:
-        df = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-    else:
-        tolerant = T.StructType(schema.fields + [T.StructField(_CORRUPT, T.StringType())])
-        raw = spark.read.schema(tolerant).option("columnNameOfCorruptRecord", _CORRUPT).json(path)
-        df = raw.where(F.col(_CORRUPT).isNull()).select(*schema.names)
+    """Newline JSON with a fixed schema; ``sample`` keeps the first rows; ``strict`` fails on a bad line.
+
+    Lines are read as text and parsed with the full schema, so that a bad line is found whatever
+    columns the query goes on to use.
+    """
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    df = parse_ndjson(lines, "value", schema, strict)
     return df.limit(sample) if sample else df
 
 
 def parse_ndjson(df: DataFrame, line_col: str, schema: T.StructType, strict: bool = False) -> DataFrame:
-    """The same for a table that already holds one JSON text per row."""
+    """Rows of a table that holds one JSON text each."""
     if strict:
         parsed = F.from_json(line_col, schema, {"mode": "FAILFAST"})
         return df.select(parsed.alias("_j")).select("_j.*")

@@ -1,0 +1,163 @@
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from catalogmap.functions import text as tx
+from catalogmap.operators import documents as docs
+from catalogmap.operators import keywords as kw
+from catalogmap.operators import metrics
+
+
+def one(spark, value, build, ddl="v string"):
+    return spark.createDataFrame([(value,)], ddl).select(build(F.col("v")).alias("o")).first()["o"]
+
+
+@pytest.mark.parametrize(
+    "raw,want",
+    [
+        ("<b>Hi</b>  there&amp;now", "Hi there&now"),
+        (None, ""),
+        ("", ""),
+        ("a  b<br/>\n c", "a b c"),
+        ("&lt;i&gt; &eacute;&#8217;", "<i> é’"),
+    ],
+)
+def test_clean_html(spark, raw, want):
+    assert one(spark, raw, tx.clean_html) == want
+
+
+@pytest.mark.parametrize(
+    "reply,want",
+    [
+        ("**NAME:** Cozy Mysteries\n**DESC:** Small-town whodunits.", ("Cozy Mysteries", "Small-town whodunits.")),
+        ("NAME: A\nDESC: two\nlines", ("A", "two\nlines")),
+        ("x" * 80 + "\nmore", ("x" * 60, "")),
+        (None, ("", "")),
+        ("  __NAME:__  B  ", ("B", "")),
+    ],
+)
+def test_label_reply(spark, reply, want):
+    name, desc = tx.parse_label_reply("v")
+    row = spark.createDataFrame([(reply,)], "v string").select(name.alias("n"), desc.alias("d")).first()
+    assert (row["n"], row["d"]) == want
+
+
+def test_rating_digit(spark):
+    assert [one(spark, r, tx.rating_digit) for r in ("3", "I say 2 or 1", "none", "45", None)] == [3, 2, None, None, None]
+
+
+def test_top_key_keeps_the_first_of_equal_counts(spark):
+    df = spark.createDataFrame([('{"b":2,"a":2,"c":1}',), ("{}",), (None,)], "j string")
+    got = df.select(tx.top_key(F.from_json("j", "map<string,bigint>")).alias("k")).collect()
+    assert [r["k"] for r in got] == ["b", None, None]
+
+
+def test_terms_drop_stop_words_before_pairing(spark):
+    assert one(spark, "The Old man and the sea, a b", tx.terms) == ["old", "man", "sea", "old man", "man sea"]
+    assert one(spark, "the", tx.terms) == []
+    assert one(spark, "single", lambda c: tx.terms(c, ())) == ["single"]
+
+
+def test_document_of_empty_fields(spark):
+    df = spark.createDataFrame(
+        [("1", None, None, None, None, "<p>x  y</p> &amp; z"), ("2", "T", "A", "G", [str(i) for i in range(10)], None)],
+        "book_id string, title string, author_name string, top_genre string, shelves array<string>, description string",
+    )
+    got = {r["book_id"]: r["doc_text"] for r in docs.build_documents(df).collect()}
+    assert got["1"] == "Title: . Author: . Genre: . Reader shelves: . Description: x y &amp; z"
+    assert got["2"] == "Title: T. Author: A. Genre: G. Reader shelves: 0, 1, 2, 3, 4, 5, 6, 7. Description: "
+
+
+REVIEWS = [("a", "xx", 5, 0), ("a", "xxxxxx", 4, 1), ("a", "xxxx", 3, 2), ("b", "é🙂", 1, None)]
+
+
+def reviews(spark):
+    return spark.createDataFrame(REVIEWS, "book_id string, review_text string, rating bigint, n_votes bigint")
+
+
+def test_cap_keeps_longest_and_most_voted(spark):
+    rv = reviews(spark)
+    longest = docs.cap_reviews(rv, 2, "longest").where("book_id = 'a'").collect()
+    assert sorted(len(r["review_text"]) for r in longest) == [4, 6]
+    votes = docs.cap_reviews(rv, 1, "votes").collect()
+    assert {(r["book_id"], r["n_votes"]) for r in votes} == {("a", 2), ("b", None)}
+    assert docs.cap_reviews(rv, 0).count() == docs.cap_reviews(rv, 2, "all").count() == 4
+
+
+def test_distill_prompt_cuts_and_orders(spark):
+    rv = spark.createDataFrame([("a", "s" * 700), ("a", "t" * 3), ("a", "u" * 5)], "book_id string, review_text string")
+    prompt = docs.distill_prompts(rv, 2).first()["prompt"]
+    assert prompt.endswith("Reviews:\n- " + "s" * 600 + "\n\n- uuuuu")
+
+
+def test_keywords_formula(spark):
+    rows = [(0, "red fox red"), (1, "red dog"), (2, "dog dog fox")]
+    df = spark.createDataFrame(rows, "cluster_id int, doc_text string")
+    got = {(r["cluster_id"], r["term"]): r["score"] for r in kw.ctfidf_keywords(df, bigrams=False).collect()}
+    idf = math.log(1 + 3 / 3)
+    assert got[(0, "red")] == pytest.approx(2 / 3 * idf) and got[(2, "dog")] == pytest.approx(2 / 3 * idf)
+    assert len(got) == 6
+    # a term of one cluster only is dropped, so are pairs here
+    assert kw.ctfidf_keywords(df).where("term like '% %'").count() == 0
+    top = kw.joined_keywords(kw.ctfidf_keywords(df, bigrams=False)).where("cluster_id = 0").first()
+    assert top["keywords"] == "red, fox" == top["name"]
+
+
+def test_agreement_edges(spark):
+    same = spark.createDataFrame([(i % 3, f"g{i % 3}") for i in range(9)], "a int, b string")
+    assert tuple(metrics.agreement(same, "a", "b").first()) == (1.0, 1.0)
+    flat = spark.createDataFrame([(i % 2, 7) for i in range(4)], "a int, b int")
+    assert metrics.agreement(flat, "a", "b").first()["ari"] == 0.0
+    none = spark.createDataFrame([(None, 1)], "a int, b int")
+    assert metrics.agreement(none, "a", "b").first()["nmi"] is None
+
+
+def test_panel_isolates_failures(spark):
+    good = spark.createDataFrame([(0.5,)], "x double")
+    rows = metrics.evaluate_panel(spark, {"x": lambda: good, "bad": lambda: good.select("nothing")}).collect()
+    assert {(r["metric"], r["value"]) for r in rows} == {("x", 0.5), ("bad", None)}
+    gate = metrics.metric_gate(
+        spark.createDataFrame([("x", 0.4)], "metric string, value double"),
+        spark.createDataFrame([("x", 0.5), ("y", 1.0)], "metric string, value double"),
+        0.05,
+    )
+    assert {r["metric"]: r["ok"] for r in gate.collect()} == {"x": False, "y": False}
+
+
+def brute_coherence(topics, texts, window):
+    windows = []
+    vocabulary = {w for t in topics for w in t}
+    for text in texts:
+        if vocabulary & set(text):
+            windows += [set(text[i : i + window]) for i in range(max(1, len(text) - window + 1))]
+    n = len(windows)
+    p = lambda *ws: sum(all(w in win for w in ws) for win in windows) / n
+
+    def npmi(a, b):
+        both = p(a, b) + 1e-12
+        return math.log(both / (p(a) * p(b))) / -math.log(both)
+
+    scores = []
+    for t in topics:
+        v = {w: [npmi(w, o) for o in t] for w in t}
+        whole = [sum(v[w][i] for w in t) for i in range(len(t))]
+        cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
+        scores.append(sum(cos(v[w], whole) for w in t) / len(t))
+    return sum(scores) / len(scores)
+
+
+def test_coherence_equals_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    words = "red fox dog cat sun sea sky ice".split()
+    texts = [[rng.choice(words + ["filler"] * 6) for _ in range(rng.randint(2, 30))] for _ in range(40)]
+    texts += [["filler"] * 50]
+    docs_df = spark.createDataFrame([(i, " ".join(t).title()) for i, t in enumerate(texts)], "book_id bigint, doc_text string")
+    labels = spark.createDataFrame(
+        [(0, "red, fox, dog, space opera"), (1, "sun, sea, sky, unseen"), (2, "ice")], "cluster_id int, keywords string"
+    )
+    got = metrics.coherence_cv(labels, docs_df, window=5).first()[0]
+    assert got == pytest.approx(brute_coherence([["red", "fox", "dog"], ["sun", "sea", "sky"]], texts, 5), abs=1e-9)
+    assert metrics.coherence_cv(labels.where("cluster_id > 0"), docs_df).first()[0] is None
