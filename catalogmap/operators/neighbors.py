@@ -84,7 +84,9 @@ def _collapse(pts: DataFrame) -> tuple[DataFrame, DataFrame | None]:
 
 def pick_pivots(points: DataFrame, n: int, block_rows: int) -> np.ndarray:
     """A bounded index sample; it steers the search and never decides its result."""
-    wanted = min(MAX_PIVOTS, max(1, math.ceil(n / block_rows)))
+    dim = points.select(F.size("vec").alias("n")).first()["n"]
+    affordable = MAX_BROADCAST_BYTES // (8 * max(dim, 1))
+    wanted = max(1, min(MAX_PIVOTS, affordable, math.ceil(n / block_rows)))
     return stack(pd.Series([r["vec"] for r in sample_exact(points, "id", wanted, 7).select("vec").collect()]))
 
 

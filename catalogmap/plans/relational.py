@@ -13,6 +13,7 @@ from catalogmap.operators.metrics import judge_rollup
 from catalogmap.operators.ranking import sample_exact
 from catalogmap.plans import roles
 from catalogmap.plans.registry import query, table
+from catalogmap.session import widen
 from catalogmap.sources import catalog
 
 BOOKS, REVIEWS = roles.BOOKS_SQL, roles.REVIEWS_SQL
@@ -254,7 +255,7 @@ def build_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT page_id, {_clean_sql(UNESCAPED)} AS text FROM pages")
 def clean_html(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "pages").select("page_id", clean_html_col("html").alias("text"))
+    return widen(table(spark, sf, "pages").select("page_id", "html")).select("page_id", clean_html_col("html").alias("text"))
 
 
 @query(rf"""
@@ -262,7 +263,7 @@ SELECT doc_id, CAST(len(list_filter(string_split({_clean_sql('text')}, ' '), lam
 FROM documents
 """)
 def text_lengths(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select(
+    return widen(table(spark, sf, "documents").select("doc_id", "text")).select(
         "doc_id", F.size(space_tokens("text")).cast("bigint").alias("n_words"), F.length("text").cast("bigint").alias("n_chars")
     )
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalogmap.plans.registry import table
+from catalogmap.session import widen
 
 BOOKS_SQL = """
 books AS (
@@ -47,7 +48,7 @@ def reviews(spark: SparkSession, sf: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     """(book_id, doc_text, cluster_id, source, lang): the source number plays the cluster."""
-    return table(spark, sf, "documents").select(
+    return widen(table(spark, sf, "documents").drop("n_chars")).select(
         F.col("doc_id").alias("book_id"), F.col("text").alias("doc_text"),
         F.substring("source", 4, 9).try_cast("int").alias("cluster_id"), "source", "lang",
     )

@@ -68,3 +68,13 @@ def salt_of(salts: int, *cols: str | Column) -> Column:
 def fresh(df: DataFrame) -> DataFrame:
     """The same columns under new internal ids, so that a table can meet a part of itself."""
     return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
+def widen(scan: DataFrame) -> DataFrame:
+    """Spreads a scan that has fewer splits than the session has cores, ahead of heavy work per row.
+
+    For a plain scan only: looking at the splits of a joined table would run its shuffles. A table
+    with splits enough, as any large one, is returned as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

@@ -11,18 +11,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from catalogmap.functions.vectors import dot
-from catalogmap.operators.neighbors import MAX_BROADCAST_BYTES, stack, unit_rows
+from catalogmap.operators.neighbors import MAX_BROADCAST_BYTES, knn_join, stack, unit_rows, with_similarity
 
 
-def assign_clusters(items: DataFrame, centroids: DataFrame, min_similarity: float = 0.0, vec_col: str = "vector") -> DataFrame:
+def assign_clusters(items: DataFrame, centroids: DataFrame, min_similarity: float = 0.0, vec_col: str = "vector", id_col: str = "book_id") -> DataFrame:
     """Adds cluster_id and similarity of the nearest centroid; −1 below ``min_similarity``.
 
     Works on a static and on a streaming frame (append mode, no state). The centroids go to the
-    tasks only when their measured size is within bounds.
+    tasks when their measured size is within bounds; beyond it a static frame takes the block join.
     """
     size = centroids.agg(F.coalesce(F.sum(F.size("centroid") * F.lit(8)), F.lit(0))).first()[0]
     if size > MAX_BROADCAST_BYTES:
-        raise ValueError("centroid table too large for per-batch assignment; merge clusters first or use knn_join")
+        if items.isStreaming:
+            raise ValueError("centroid table too large to send to every micro-batch; assign in foreachBatch")
+        return _assign_by_join(items, centroids, min_similarity, vec_col, id_col)
     rows = centroids.orderBy("cluster_id").collect()
     ids = np.array([r["cluster_id"] for r in rows], "int32")
     table = items.sparkSession.sparkContext.broadcast(
@@ -48,6 +50,25 @@ def assign_clusters(items: DataFrame, centroids: DataFrame, min_similarity: floa
     return items.mapInPandas(nearest, schema)
 
 
+def _assign_by_join(items: DataFrame, centroids: DataFrame, min_similarity: float, vec_col: str, id_col: str) -> DataFrame:
+    cents = centroids.select((-F.col("cluster_id") - 1).cast("string").alias("_c"), F.col("centroid").alias(vec_col))
+    asked = items.select(F.col(id_col).cast("string").alias("_c"), vec_col)
+    # text ids: cluster numbers carry a sign, so that they never equal an item id
+    near = with_similarity(
+        knn_join(
+            asked.select(F.concat(F.lit("i"), "_c").alias("_c"), vec_col),
+            cents.select(F.concat(F.lit("c"), "_c").alias("_c"), vec_col),
+            1, "cosine", id_col="_c", vec_col=vec_col,
+        )
+    )
+    best = near.select(
+        F.substring("id", 2, 1 << 20).cast(items.schema[id_col].dataType).alias(id_col),
+        (-F.substring("near", 2, 20).cast("int") - 1).alias("_to"), F.round("similarity", 9).alias("similarity"),
+    )
+    cluster = F.when(F.col("similarity") >= min_similarity, F.col("_to")).otherwise(F.lit(-1))
+    return items.join(best, id_col).withColumn("cluster_id", cluster).select(*items.columns, "cluster_id", "similarity")
+
+
 def cluster_trend(assigned: DataFrame, ts_col: str = "ts", every: str = "1 day") -> DataFrame:
     """(window_start, cluster_id, n, share): how clusters grow or shrink over time slices."""
     slices = assigned.groupBy(F.window(ts_col, every).alias("w"), "cluster_id").agg(F.count(F.lit(1)).alias("n"))

@@ -83,8 +83,9 @@ def test_components_and_forest(spark):
     assert {*range(100, 141)} in parts.values()
 
 
-@pytest.mark.parametrize("block_rows", [20, 1000])
-def test_reachability_forest_is_the_true_tree(spark, block_rows):
+@pytest.mark.parametrize("block_rows,few", [(20, 0), (20, 8), (1000, 8)])
+def test_reachability_forest_is_the_true_tree(spark, block_rows, few, monkeypatch):
+    monkeypatch.setattr(density, "FEW_BLOCKS", few)
     x = blobs(6, noise=15)
     m = brute.reachability(brute.distance_matrix(x), 4)
     want = brute.kruskal([(m[i, j], i, j) for i in range(len(x)) for j in range(i + 1, len(x))])

@@ -221,3 +221,13 @@ def test_drift(spark):
     old = spark.createDataFrame([(0, [1.0, 0.0])], "cluster_id int, centroid array<double>")
     new = spark.createDataFrame([(0, [0.0, 1.0])], "cluster_id int, centroid array<double>")
     assert assign.centroid_drift(old, new).first()["similarity"] == 0.0
+
+
+def test_assignment_by_join_equals_broadcast(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(rng.normal(size=(30, 3)))], "book_id bigint, vector array<double>")
+    cents = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(rng.normal(size=(5, 3)))], "cluster_id int, centroid array<double>")
+    key = lambda d: sorted((r["book_id"], r["cluster_id"], round(r["similarity"], 6)) for r in d.collect())
+    sent = key(assign.assign_clusters(df, cents, 0.3))
+    monkeypatch.setattr(assign, "MAX_BROADCAST_BYTES", 1)
+    assert key(assign.assign_clusters(df, cents, 0.3)) == sent
