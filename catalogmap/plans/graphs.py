@@ -149,13 +149,13 @@ def reducer_choice(spark: SparkSession, sf: str) -> DataFrame:
     v = roles.vectors(spark, sf).select("book_id", "vector")
     edges = cut(reduce.fuzzy_graph(_near(spark, sf, "cosine")))
     candidates = {
-        "spectral": cut(reduce.spectral_reduce(edges, 10, iterations=5)),
+        "spectral": cut(reduce.spectral_reduce(edges, 10, iterations=8)),
         "projection": cut(reduce.random_projection(v, 10, 64)),
     }
 
     def score(df: DataFrame) -> tuple[float, int]:
-        forest = density.reachability_forest(df, MIN_SAMPLES, id_col="id")
-        found = cut(density.density_clusters(forest, df, MIN_SIZE, "eom", id_col="id"))
+        forest = density.reachability_forest(df, 3, id_col="id")
+        found = cut(density.density_clusters(forest, df, 8, "eom", id_col="id"))
         k = found.where("cluster_id >= 0").select("cluster_id").distinct().count()
         return metrics.dbcv(df.join(found, "id"), id_col="id").first()[0], k
 

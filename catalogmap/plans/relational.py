@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +15,8 @@ from catalogmap.operators.metrics import judge_rollup
 from catalogmap.operators.ranking import sample_exact
 from catalogmap.plans import roles
 from catalogmap.plans.registry import query, table
-from catalogmap.session import widen
-from catalogmap.sources import catalog
+from catalogmap.session import cut, scratch_dir, widen
+from catalogmap.sources import catalog, tables
 
 BOOKS, REVIEWS = roles.BOOKS_SQL, roles.REVIEWS_SQL
 
@@ -219,6 +221,23 @@ def bundle_manifest(spark: SparkSession, sf: str) -> DataFrame:
     return sel.bundle_manifest(roles.books(spark, sf), said, 5000, "text_reviews_count")
 
 
+@query(f"""WITH {_selection_sql(1000, 'top_genre')}, rv AS (SELECT l_partkey AS book_id FROM lineitem SEMI JOIN chosen ON l_partkey = book_id)
+SELECT CAST(1000 AS BIGINT) AS n_books_requested, 'text_reviews_count' AS rank_by, n_books, n_reviews, n_books_with_reviews,
+       round(n_reviews / greatest(n_books_with_reviews, 1), 2) AS avg_reviews_per_book, 'books.parquet|reviews.parquet' AS files
+FROM (SELECT count(*) AS n_books FROM chosen), (SELECT count(*) AS n_reviews, count(DISTINCT book_id) AS n_books_with_reviews FROM rv)
+""")
+def frozen_bundle(spark: SparkSession, sf: str) -> DataFrame:
+    """The selection and its reviews, checked, written, and described by the manifest read back."""
+    books = cut(sel.stratified_select(roles.books(spark, sf), 1000))
+    said = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("book_id"), F.col("l_quantity").alias("n_votes"))
+    path = f"{scratch_dir(spark)}/bundle-{uuid.uuid4().hex}"
+    manifest = tables.freeze_bundle(books, sel.reviews_of(said, books), path, 1000, "text_reviews_count")
+    return manifest.select(
+        "n_books_requested", "rank_by", "n_books", "n_reviews", "n_books_with_reviews", "avg_reviews_per_book",
+        F.array_join("files", "|").alias("files"),
+    )
+
+
 @query("SELECT doc_id AS book_id, text FROM documents WHERE lang = 'en'")
 def language_filter(spark: SparkSession, sf: str) -> DataFrame:
     named = table(spark, sf, "documents").select(F.col("doc_id").alias("book_id"), "text", F.col("lang").alias("language_code"))

@@ -251,3 +251,35 @@ def map_points(spark: SparkSession, sf: str) -> DataFrame:
         "book_id", F.round(F.col("x").cast("double"), 6).alias("x"), F.round(F.col("y").cast("double"), 6).alias("y"),
         "title", "author", "category",
     )
+
+
+@query("""SELECT doc_id AS book_id, CAST(length(text) AS VARCHAR) AS reply FROM documents""")
+def model_replies(spark: SparkSession, sf: str) -> DataFrame:
+    """Prompt to text on the partitions; the stand-in model answers with the length of the prompt."""
+    prompts = roles.documents(spark, sf).select("book_id", "doc_text")
+    return models.apply_model(prompts, "book_id", "doc_text", lambda p: str(len(p))).select("book_id", "reply")
+
+
+@query("""SELECT conv_id * 100 + turn AS item, CAST(length(text) AS VARCHAR) AS reply FROM conversations""")
+def resumed_replies(spark: SparkSession, sf: str) -> DataFrame:
+    """Two checkpointed calls over one store: the second asks only what the first has not answered."""
+    store = f"{scratch_dir(spark)}/replies-{uuid.uuid4().hex}"
+    asked = table(spark, sf, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("item"), "role", "text")
+
+    def once(prompt: str) -> str:
+        return str(len(prompt))
+
+    models.run_checkpointed(asked.where("role = 'user'"), "item", "text", once, store)
+    return models.run_checkpointed(asked, "item", "text", once, store)
+
+
+@query(f"""WITH {LONG}, g AS (SELECT e.* FROM e SEMI JOIN labels ON doc_id = book_id AND quality = 1),
+cr AS (SELECT label AS cluster_id, pos, avg(x) AS x FROM e GROUP BY ALL), c AS ({_unit_sql('cr', 'cluster_id')}),
+gr AS (SELECT label AS cluster_id, pos, avg(x) AS x FROM g GROUP BY ALL), d AS ({_unit_sql('gr', 'cluster_id')})
+SELECT cluster_id, round(sum(c.x * d.x), 6) AS similarity FROM c JOIN d USING (cluster_id, pos) GROUP BY cluster_id""")
+def centroid_drift(spark: SparkSession, sf: str) -> DataFrame:
+    """Centroids of all items against those of the items of good quality."""
+    v = roles.vectors(spark, sf)
+    good = table(spark, sf, "labels").where("quality = 1").select(F.col("doc_id").alias("book_id"))
+    drift = assign.centroid_drift(fusion.centroids(v), fusion.centroids(v.join(good, "book_id", "left_semi")))
+    return drift.select("cluster_id", F.round("similarity", 6).alias("similarity"))
