@@ -216,3 +216,13 @@ def test_search_space_and_tuning(spark):
     x = blobs(17, noise=6)
     out = tuning.tune_clusters(frame(spark, x), trials=[(10, 3), (60, 3)]).collect()
     assert out[0]["min_cluster_size"] == 10 and out[0]["n_clusters"] == 3 and out[1]["objective"] == -1.0
+
+
+def test_rescue_with_text_ids_and_nothing_to_do(spark):
+    clusters = spark.createDataFrame([("a", 0, 1.0), ("b", 0, 0.5)], "book_id string, cluster_id int, probability double")
+    vectors = spark.createDataFrame([("a", [0.0]), ("b", [1.0])], "book_id string, vector array<double>")
+    assert merging.rescue_noise(clusters, vectors).count() == 2
+    noise = spark.createDataFrame([("c", -1, 0.0)], clusters.schema)
+    more = vectors.unionByName(spark.createDataFrame([("c", [0.2])], vectors.schema))
+    got = merging.rescue_noise(clusters.unionByName(noise), more, chunk_rows=1).where("book_id = 'c'").first()
+    assert got["cluster_id"] == 0
