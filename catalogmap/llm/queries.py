@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalogmap.llm import chat_format, packing, simhash, url_rules, warc
+from catalogmap.llm import chat_format, packing, quality_trees, simhash, toxicity, url_rules, warc
 from catalogmap.plans.registry import Query, table
 from catalogmap.session import scratch_dir
 
@@ -123,3 +123,30 @@ URL_RULES = (
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), rules)
+
+
+def toxic_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Labelled documents outside the held-out fold: (doc_id, text, toxic)."""
+    known = labels.where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    return docs.where(~held_out()).select("doc_id", "text").join(known, "doc_id")
+
+
+def held_out():
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
+
+
+@query()
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents; checked by accuracy on the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(toxic_labels(docs, table(spark, sf_dir, "labels")))
+    scored = toxicity.score_documents(docs, model)
+    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query()
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of all documents; statistics are checked by brute force."""
+    docs = table(spark, sf_dir, "documents")
+    forest = quality_trees.train(docs, table(spark, sf_dir, "labels"))
+    return quality_trees.judge(docs, forest).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
