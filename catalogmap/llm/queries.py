@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalogmap.llm import chat_format, packing, quality_trees, simhash, toxicity, url_rules, warc
+from catalogmap.llm import chat_format, decontaminate, packing, quality_trees, simhash, toxicity, url_rules, warc
 from catalogmap.plans.registry import Query, table
 from catalogmap.session import scratch_dir
 
@@ -150,3 +150,9 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     forest = quality_trees.train(docs, table(spark, sf_dir, "labels"))
     return quality_trees.judge(docs, forest).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
+@query()
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a document and a benchmark item that it holds; checked against brute force."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
