@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalogmap.llm import chat_format, decontaminate, packing, quality_trees, simhash, toxicity, url_rules, warc
+from catalogmap.llm import chat_format, decontaminate, line_align, packing, quality_trees, simhash, toxicity, url_rules, warc
 from catalogmap.plans.registry import Query, table
 from catalogmap.session import scratch_dir
 
@@ -156,3 +156,9 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a document and a benchmark item that it holds; checked against brute force."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the blocks that they share with an earlier one; checked against brute force."""
+    return line_align.delete_copied_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_deleted")
