@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalogmap.llm import chat_format, decontaminate, line_align, packing, quality_trees, simhash, toxicity, url_rules, warc
+from catalogmap.llm import chat_format, decontaminate, line_align, packing, pii, quality_trees, simhash, toxicity, url_rules, warc
 from catalogmap.plans.registry import Query, table
 from catalogmap.session import scratch_dir
 
@@ -162,3 +162,12 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the blocks that they share with an earlier one; checked against brute force."""
     return line_align.delete_copied_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_deleted")
+
+
+@query()
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in all documents; checked against plain patterns in Python."""
+    found = pii.with_spans(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] < 4)
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS[:4])]
+    return found.select("doc_id", *counts, F.sha2(pii.span_list(base), 256).alias("base_sha256"), pii.span_list(F.col("spans")).alias("spans"))
