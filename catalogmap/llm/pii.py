@@ -6,8 +6,8 @@ the same way, so the lengths of the stretches between matches give each match's
 Words near a protected value (an address or number found by the patterns) are counted with it over all
 documents. The disclosure of a term is the share of its documents in which it stands beside that one
 value; a term above the thresholds names the value even when the value itself is masked, so it is
-generalised, or removed where it is all but certain. Equal contexts count once: copies of a document are
-no evidence.
+generalised, or removed where it is all but certain. Contexts are told apart by min-hashes of their other
+words, so that copies and near copies of a document are no evidence.
 
 The quantifiers are possessive and a match may only begin where a run of its characters begins (or the last
 match ended). That finds the same matches as the plain patterns in time linear in the text.
@@ -32,6 +32,8 @@ OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 TERM = r"\p{L}{3,}"
 #: Code points of text looked at on either side of a value.
 REACH = 400
+#: Min-hashes by which contexts are told apart.
+SIGNS = 3
 
 
 def _digits(value: Column) -> Column:
@@ -112,23 +114,29 @@ def _words(context: Column, offset: Column, last: bool, width: int) -> Column:
 
 
 def context_terms(spans: DataFrame, width: int = 6) -> DataFrame:
-    """(doc_id, key, kind, entity, context, term, start, end): words beside protected values."""
+    """(doc_id, key, kind, entity, term, start, end, s0, s1, s2): words beside protected values.
+
+    s0 to s2 are min-hashes of the context's other words.
+    """
     before = _words(F.col("before"), F.col("start") - F.length("before"), True, width)
     after = _words(F.col("after"), F.col("end"), False, width)
     entity = F.when(F.col("kind") == 0, F.lower("value")).when(F.col("kind") == 1, F.col("value")).otherwise(_digits(F.col("value")))
     near = spans.select("doc_id", "key", "kind", entity.alias("entity"), F.concat(before, after).alias("terms"))
-    context = F.xxhash64(F.transform("terms", lambda t: t["term"]))
-    return near.withColumn("context", context).select("doc_id", "key", "kind", "entity", "context", F.explode("terms").alias("t")).select("doc_id", "key", "kind", "entity", "context", "t.*")
+    each = near.select("doc_id", "key", "kind", "entity", "terms", F.explode("terms").alias("t"))
+    others = F.filter("terms", lambda o: o["term"] != F.col("t.term"))
+    signs = [F.array_min(F.transform(others, lambda o, k=k: F.xxhash64(o["term"], F.lit(k)))).alias(f"s{k}") for k in range(SIGNS)]
+    return each.select("doc_id", "key", "kind", "entity", "t.*", *signs)
 
 
 def disclosing_terms(docs: DataFrame, near: DataFrame, least_contexts: int = 3, least_share: float = 0.5, least_bits: float = 4.0) -> DataFrame:
     """(kind, entity, term, disclosure): terms that reveal a value, from counts over all documents.
 
     disclosure is the share of the term's documents in which it stands beside the value. A term also needs
-    ``least_contexts`` different contexts and must raise the value's probability by ``least_bits`` bits.
+    ``least_contexts`` different contexts (by each of the min-hashes) and must raise the value's probability by ``least_bits`` bits.
     """
-    together = near.groupBy("kind", "entity", "term").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("doc_id", "key").alias("both"))
-    together = together.where(F.col("contexts") >= least_contexts)
+    distinct = [F.countDistinct(f"s{k}").alias(f"s{k}") for k in range(SIGNS)]
+    together = near.groupBy("kind", "entity", "term").agg(*distinct, F.countDistinct("doc_id", "key").alias("both"))
+    together = together.where(F.least(*(F.col(f"s{k}") for k in range(SIGNS))) >= least_contexts).select("kind", "entity", "term", "both")
     values = near.groupBy("kind", "entity").agg(F.countDistinct("doc_id", "key").alias("of_value"))
     words = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(TERM), F.lit(0)), F.lower))
     everywhere = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("of_term"))
