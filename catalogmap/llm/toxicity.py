@@ -44,27 +44,28 @@ def windows(text: str | None) -> list[bytes]:
     return words
 
 
-def _dictionary(words: list[bytes]):
-    """Raw content; the last words are the nearest. None below zstandard's least size."""
+def _compressors(base: list[bytes], marked: list[bytes]):
+    """Compressors with the ordinary and the toxic dictionary.
+
+    Both are raw content of one length with the shared words in the same places, so that zstandard sets up
+    its tables alike; the ordinary one ends with zeros where the toxic one has its marked words.
+    """
     import zstandard
 
-    content = b" ".join([b"", *words, b""])[-DICT_BYTES:]
-    return zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if len(content) >= 8 else None
+    content = b" ".join([b"", *base, b""])[-DICT_BYTES:] or b" "
+    tail = b" ".join([b"", *marked, b""])
+    for end in (bytes(len(tail)), tail):
+        made = zstandard.ZstdCompressionDict(content + end + b"\n" * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        made.precompute_compress(level=LEVEL)
+        yield zstandard.ZstdCompressor(level=LEVEL, dict_data=made, write_content_size=False, write_dict_id=False, write_checksum=False)
 
 
 class Margins(dict):
     """Window → ordinary length minus toxic length; remembers a bounded number of windows."""
 
     def __init__(self, base: list[bytes], marked: list[bytes]) -> None:
-        import zstandard
-
         super().__init__()
-        self.packers = []
-        for words in (base, base + marked):
-            made = _dictionary(words)
-            if made:
-                made.precompute_compress(level=LEVEL)
-            self.packers.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=made, write_content_size=False, write_dict_id=False, write_checksum=False))
+        self.packers = list(_compressors(base, marked))
 
     def __missing__(self, word: bytes) -> int:
         window = (b" " + word) * REPEATS + b" "
