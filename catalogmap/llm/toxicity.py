@@ -88,11 +88,12 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[np.n
     """Weights (the constant first) and the mean log loss on the same rows."""
     x = np.c_[np.ones(len(x)), x]
     w = np.zeros(x.shape[1])
+    pull = np.r_[1e-6, np.full(len(w) - 1, ridge)]  # the constant is free
     w[0] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (y - p) - ridge * w
-        step = np.linalg.solve((x.T * np.maximum(p * (1 - p), 1e-9)) @ x + ridge * np.eye(len(w)), grad)
+        grad = x.T @ (y - p) - pull * w
+        step = np.linalg.solve((x.T * np.maximum(p * (1 - p), 1e-9)) @ x + np.diag(pull), grad)
         w = w + step * min(1.0, 4.0 / max(1e-12, np.abs(step).max()))
         if np.abs(step).max() < 1e-8:
             break
