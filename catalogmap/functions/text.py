@@ -76,8 +76,8 @@ def terms(c: str | Column, stop_words: Sequence[str] = ENGLISH, bigrams: bool =
 
 
 def top_key(m: str | Column) -> Column:
-    """Key with the greatest count; the first key wins a tie; null for an empty or missing map."""
-    entries = F.map_entries(col_of(m))
+    """Key with the greatest count; the first key wins a tie; null without any count."""
+    entries = F.filter(F.map_entries(col_of(m)), lambda e: e["value"].isNotNull())
     best = F.aggregate(
         entries,
         F.lit(None).cast("struct<key:string,value:bigint>"),

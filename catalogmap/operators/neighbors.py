@@ -321,7 +321,7 @@ def with_similarity(near: DataFrame) -> DataFrame:
 def scan_top_k(
     queries: DataFrame, points: DataFrame, k: int = 12, id_col: str = "book_id", vec_col: str = "vector"
 ) -> DataFrame:
-    """Top-k by cosine for a few queries in one pass over the points: (id, near, rank, similarity).
+    """Top-k by the distance of unit vectors, in one pass over the points: (id, near, rank, similarity).
 
     The queries are sent to all tasks when their measured size is below MAX_BROADCAST_BYTES; more of
     them take the block join instead.
@@ -346,18 +346,25 @@ def scan_top_k(
         for pdf in batches:
             if not len(pdf):
                 continue
-            pdf = pdf.sort_values("near", kind="stable")
             near = pdf["near"].to_numpy()
-            sims = (asked @ unit_rows(stack(pdf["vec"]))[:, :-1].T).round(9)
-            sims[ids[:, None] == near[None, :]] = -np.inf
-            top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-            row = np.repeat(np.arange(len(ids)), top.shape[1])
-            col = top.ravel()
-            keep = np.isfinite(sims[row, col])
-            row, col = row[keep], col[keep]
-            yield pd.DataFrame({"id": ids[row], "near": near[col], "similarity": sims[row, col]})
+            points_ = unit_rows(stack(pdf["vec"]))[:, :-1]
+            found = []
+            for one, vec in zip(ids, asked):  # one query at a time bounds the memory
+                # the product only narrows the choice: it cannot tell near copies apart, the difference can
+                sims = points_ @ vec
+                sims[near == one] = -np.inf
+                if len(sims) > k:
+                    few = np.flatnonzero(sims >= np.partition(sims, -k)[-k] - 1e-9)
+                else:
+                    few = np.arange(len(sims))
+                few = few[np.isfinite(sims[few])]
+                dist = np.sqrt(((points_[few] - vec) ** 2).sum(1)).round(9)
+                best = np.lexsort((near[few], dist))[:k]
+                found.append(pd.DataFrame({"id": one, "near": near[few][best], "dist": dist[best]}))
+            yield pd.concat(found)
 
     table = points.select(F.col(id_col).alias("near"), F.col(vec_col).alias("vec"))
-    found = table.mapInPandas(scan, f"id {q_type}, near {id_type}, similarity double")
-    order = [F.desc("similarity"), F.col("near")]
-    return top_k_per_group(found, ["id"], order, k, "rank", salt_on=["near"]).select("id", "near", "rank", "similarity")
+    found = table.mapInPandas(scan, f"id {q_type}, near {id_type}, dist double")
+    order = [F.col("dist"), F.col("near")]
+    top = top_k_per_group(found, ["id"], order, k, "rank", salt_on=["near"])
+    return with_similarity(top).select("id", "near", "rank", "similarity")

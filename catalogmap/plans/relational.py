@@ -52,6 +52,40 @@ def ingest_books(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("""
+SELECT CAST(p_partkey AS VARCHAR) AS book_id, p_name AS title, CASE WHEN p_partkey % 5 <> 3 THEN CAST(p_size AS BIGINT) END AS num_pages,
+       CASE WHEN p_partkey % 5 <> 1 THEN p_type END AS series_ids, CASE WHEN p_partkey % 5 <> 2 THEN p_brand END AS first_author_id
+FROM part WHERE p_partkey % 5 <> 0
+""")
+def ingest_damaged_file(spark: SparkSession, sf: str) -> DataFrame:
+    """part as a newline-JSON file in which lines are cut off and fields have other shapes, read from disk.
+
+    All parts are written; the reader itself drops the lines that are cut off and nulls the unfit fields.
+    """
+
+    def line(num_pages, series, authors):
+        return F.to_json(
+            F.struct(
+                F.col("p_partkey").cast("string").alias("book_id"), F.col("p_name").alias("title"),
+                num_pages.alias("num_pages"), series.alias("series"), authors.alias("authors"),
+            )
+        )
+
+    pages, series, authors = F.col("p_size").cast("string"), F.array("p_type"), F.array(F.struct(F.col("p_brand").alias("author_id")))
+    whole, kind = line(pages, series, authors), F.col("p_partkey") % 5
+    damaged = (
+        F.when(kind == 0, F.left(whole, F.length(whole) - 3))
+        .when(kind == 1, line(pages, F.col("p_type"), authors))
+        .when(kind == 2, line(pages, series, F.lit(7)))
+        .when(kind == 3, line(F.struct("p_size"), series, authors))
+        .otherwise(whole)
+    )
+    path = f"{scratch_dir(spark)}/damaged-{uuid.uuid4().hex}"
+    table(spark, sf, "part").select(damaged.alias("value")).write.text(path)
+    got = catalog.project_books(catalog.read_ndjson(spark, path, catalog.BOOKS_RAW))
+    return got.select("book_id", "title", "num_pages", F.array_join("series_ids", "|").alias("series_ids"), "first_author_id")
+
+
 @query("SELECT CAST(s_suppkey AS VARCHAR) AS author_id, s_name AS name, s_acctbal AS average_rating FROM supplier")
 def ingest_authors(spark: SparkSession, sf: str) -> DataFrame:
     line = F.to_json(

@@ -111,9 +111,9 @@ def nearest_neighbors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _top_sql(asked: str, k: int) -> str:
-    return f"""s AS (SELECT a.id, b.id AS near, round(list_dot_product(a.v, b.v), 9) AS sim FROM {asked} a JOIN u b ON a.id <> b.id),
-r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, near) AS rank FROM s)
-SELECT id, near, rank, round(sim, 6) AS similarity FROM r WHERE rank <= {k}"""
+    return f"""s AS (SELECT a.id, b.id AS near, round(list_distance(a.v, b.v), 9) AS dist FROM {asked} a JOIN u b ON a.id <> b.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, near) AS rank FROM s)
+SELECT id, near, rank, round(1 - dist * dist / 2, 6) AS similarity FROM r WHERE rank <= {k}"""
 
 
 def _shown(top: DataFrame) -> DataFrame:
@@ -131,9 +131,9 @@ def similar_items(spark: SparkSession, sf: str) -> DataFrame:
 m AS (SELECT user_id, pos, avg(x) AS x FROM events JOIN e ON event_id = book_id GROUP BY ALL),
 mu AS ({_unit_sql('m', 'user_id')}),
 q AS (SELECT user_id AS id, list(x ORDER BY pos) AS v FROM mu GROUP BY user_id),
-s AS (SELECT a.id, b.id AS near, round(list_dot_product(a.v, b.v), 9) AS sim FROM q a, u b)
-SELECT id, near, rank, round(sim, 6) AS similarity FROM (
-  SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, near) AS rank FROM s) WHERE rank <= 5""")
+s AS (SELECT a.id, b.id AS near, round(list_distance(a.v, b.v), 9) AS dist FROM q a, u b)
+SELECT id, near, rank, round(1 - dist * dist / 2, 6) AS similarity FROM (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, near) AS rank FROM s) WHERE rank <= 5""")
 def taste_recommendations(spark: SparkSession, sf: str) -> DataFrame:
     """The mean vector of the items a user touched, matched against all items."""
     liked = table(spark, sf, "events").select("user_id", F.col("event_id").alias("book_id"))
@@ -144,35 +144,61 @@ def taste_recommendations(spark: SparkSession, sf: str) -> DataFrame:
     return _shown(top.withColumn("id", F.col("id").cast("bigint")))
 
 
-@query()
+def _hashed_sql(name: str, source: str, key: str, text: str) -> str:
+    """(key, pos, x) of unit vectors of signed word counts."""
+    return rf"""{name}_w AS (SELECT {key}, md5(unnest(regexp_extract_all(lower({text}), '[\p{{L}}\p{{N}}_]{{2,}}'))) AS h FROM {source}),
+{name}_s AS (SELECT {key}, CAST('0x' || substring(h, 1, 4) AS INTEGER) % 64 AS pos, sum(CASE WHEN substring(h, 5, 1) < '8' THEN 1.0 ELSE -1.0 END)::DOUBLE AS x
+  FROM {name}_w GROUP BY ALL),
+{name}_d AS (SELECT g.{key}, g.pos, coalesce(x, 0) AS x FROM (SELECT {key}, unnest(range(64)) AS pos FROM {source}) g LEFT JOIN {name}_s USING ({key}, pos)),
+{name} AS (SELECT {key}, pos, x::FLOAT::DOUBLE AS x FROM ({_unit_sql(name + '_d', key)}))"""
+
+
+@query(f"""WITH {_hashed_sql('v', 'documents', 'doc_id', 'text')}
+SELECT doc_id AS book_id, pos, round(x, 6) AS value FROM v""")
 def embed_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """Hashed unit vectors of the whole texts, in requests within the limits."""
+    """Hashed unit vectors of the whole texts."""
     docs = roles.documents(spark, sf)
     return roles.spread(models.embed_texts(docs, "doc_text"), "book_id")
 
 
-@query()
+@query("""WITH s AS (SELECT doc_id AS book_id, CAST('0x' || substring(md5(CAST(doc_id AS VARCHAR)), 1, 4) AS INTEGER) % 16 AS share,
+  greatest(1, length(text) // 3) AS n FROM documents),
+m AS (SELECT *, (row_number() OVER w - 1) // 128 AS i,
+  coalesce(sum(n) OVER (PARTITION BY share ORDER BY book_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 250000 AS t
+  FROM s WINDOW w AS (PARTITION BY share ORDER BY book_id)),
+r AS (SELECT *, dense_rank() OVER (PARTITION BY share ORDER BY i, t) - 1 AS request FROM m)
+SELECT share, request, count(*) AS n_items, sum(n)::BIGINT AS n_tokens FROM r GROUP BY ALL""")
 def pack_batches(spark: SparkSession, sf: str) -> DataFrame:
-    """The requests an embedding run over the documents would send."""
+    """A repeatable plan of the requests of an embedding run over the documents."""
     packed = models.pack_batches(roles.documents(spark, sf), "book_id", "doc_text")
-    return packed.groupBy("part", "batch_no").agg(F.count(F.lit(1)).alias("n_items"), F.sum("est_tokens").alias("n_tokens"))
+    return packed.groupBy("share", "request").agg(F.count(F.lit(1)).alias("n_items"), F.sum("est_tokens").alias("n_tokens"))
 
 
-@query()
+@query(f"""WITH {_hashed_sql('v', 'documents', 'doc_id', 'text')}, {_hashed_sql('q', 'benchmark', 'item_id', 'text')},
+vv AS (SELECT doc_id, list(x ORDER BY pos) AS v FROM v GROUP BY doc_id), qv AS (SELECT item_id, list(x ORDER BY pos) AS v FROM q GROUP BY item_id),
+unit AS (SELECT *, sqrt(list_dot_product(v, v)) AS n FROM vv), qunit AS (SELECT *, sqrt(list_dot_product(v, v)) AS n FROM qv),
+a AS (SELECT doc_id, list_transform(v, lambda x: x / CASE WHEN n = 0 THEN 1 ELSE n END) AS v FROM unit),
+b AS (SELECT item_id, list_transform(v, lambda x: x / CASE WHEN n = 0 THEN 1 ELSE n END) AS v FROM qunit),
+s AS (SELECT item_id AS query_id, doc_id AS book_id, round(list_distance(a.v, b.v), 9) AS dist FROM b, a)
+SELECT query_id, book_id, rank, round(1 - dist * dist / 2, 6) AS similarity FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, CAST(book_id AS VARCHAR)) AS rank FROM s) WHERE rank <= 12""")
 def semantic_search(spark: SparkSession, sf: str) -> DataFrame:
-    """Benchmark passages as free-text queries against the document vectors."""
+    """Benchmark passages as free-text queries against the document vectors; ties by the id as text."""
     content = cut(models.embed_texts(roles.documents(spark, sf), "doc_text"))
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     top = serving.semantic_search(asked, content)
-    return top.withColumn("similarity", F.round("similarity", 6))
+    return top.select("query_id", "book_id", F.col("rank").cast("bigint").alias("rank"), F.round("similarity", 6).alias("similarity"))
 
 
 def _first_sentence(prompt: str) -> str:
     """Stands for a chat model: the first sentence of the first review."""
-    return prompt.split("Reviews:\n", 1)[-1].lstrip("- ").split(".", 1)[0]
+    return prompt.split("Reviews:\n- ", 1)[-1].split("\n\n- ", 1)[0].split(".", 1)[0]
 
 
-@query()
+@query(r"""WITH wanted AS (SELECT conv_id FROM conversations GROUP BY 1 ORDER BY count(*) DESC, conv_id LIMIT 1000),
+longest AS (SELECT conv_id, text FROM conversations SEMI JOIN wanted USING (conv_id)
+  QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC, text) = 1)
+SELECT conv_id AS book_id, trim(string_split(substring(text, 1, 600), '.')[1], ' ' || chr(10)) AS summary, 64 AS dim FROM longest""")
 def distill_reviews(spark: SparkSession, sf: str) -> DataFrame:
     """Prompts, checkpointed model calls and embedded summaries of the most reviewed books."""
     store = f"{scratch_dir(spark)}/summaries-{uuid.uuid4().hex}"

@@ -1,14 +1,15 @@
 """Readers and projections of the raw newline-JSON catalog.
 
 Scalars arrive as text and are cast one by one, so a bad value becomes null instead of ending the
-job. Malformed lines are dropped, as a tolerant scan does; the genre file may be read strictly.
+job. A field of another shape than the schema's is null and the row stays; only lines that are no
+JSON objects are dropped, and can be counted. The genre file may be read strictly.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,7 +35,7 @@ BOOKS_RAW = _schema(
 AUTHORS_RAW = _schema("author_id", "name", "average_rating")
 WORKS_RAW = _schema("work_id", "original_publication_year", "original_title")
 SERIES_RAW = _schema("series_id", "title")
-GENRES_RAW = _schema("book_id", genres=T.MapType(_TEXT, T.LongType()))
+GENRES_RAW = _schema("book_id", genres=T.MapType(_TEXT, _TEXT))
 REVIEWS_RAW = _schema("book_id", "review_text", "rating", "n_votes")
 
 MAX_SHELVES = 10
@@ -58,13 +59,24 @@ def parse_ndjson(df: DataFrame, line_col: str, schema: T.StructType, strict: boo
     if strict:
         parsed = F.from_json(line_col, schema, {"mode": "FAILFAST"})
         return df.select(parsed.alias("_j")).select("_j.*")
-    tolerant = T.StructType(schema.fields + [T.StructField(_CORRUPT, T.StringType())])
-    parsed = F.from_json(line_col, tolerant, {"columnNameOfCorruptRecord": _CORRUPT})
-    return (
-        df.select(parsed.alias("_j"))
-        .where(F.col(f"_j.{_CORRUPT}").isNull())
-        .select(*[F.col(f"_j.{n}").alias(n) for n in schema.names])
-    )
+    marked = T.StructType(schema.fields + [T.StructField(_CORRUPT, T.StringType())])
+    whole = F.from_json(line_col, marked, {"columnNameOfCorruptRecord": _CORRUPT})
+    lines = df.where(is_object(line_col)).select(F.col(line_col).alias("_line"), whole.alias("_j"))
+    # where some field has another shape, each is read on its own and takes no other field with it
+    single = F.struct(*[F.from_json("_line", T.StructType([f]))[f.name].alias(f.name) for f in schema.fields])
+    clean = F.struct(*[F.col(f"_j.{n}").alias(n) for n in schema.names])
+    return lines.select(F.when(F.col(f"_j.{_CORRUPT}").isNull(), clean).otherwise(single).alias("_r")).select("_r.*")
+
+
+def is_object(line_col: str) -> Column:
+    """True for a text that is one JSON object."""
+    return F.coalesce(F.ltrim(line_col).startswith("{") & F.get_json_object(line_col, "$").isNotNull(), F.lit(False))
+
+
+def count_dropped(df: DataFrame, line_col: str) -> DataFrame:
+    """One row: how many texts are JSON objects (n_rows) and how many are not (n_dropped)."""
+    good = is_object(line_col)
+    return df.agg(F.count_if(good).alias("n_rows"), F.count_if(~good).alias("n_dropped"))
 
 
 def project_books(raw: DataFrame) -> DataFrame:
@@ -101,7 +113,8 @@ def project_series(raw: DataFrame) -> DataFrame:
 
 def project_genres(raw: DataFrame) -> DataFrame:
     """Genre counts per book, the leading genre, and the counts as JSON text."""
-    counts = F.coalesce(F.col("genres"), F.create_map().cast("map<string,bigint>"))
+    numbers = F.transform_values("genres", lambda _, n: n.try_cast("bigint"))
+    counts = F.coalesce(numbers, F.create_map().cast("map<string,bigint>"))
     return raw.select("book_id", top_key(counts).alias("top_genre"), F.to_json(counts).alias("genres_json"))
 
 

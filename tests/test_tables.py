@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from catalogmap.functions import vectors as vx
 from catalogmap.operators import fusion, models, ranking, selection, serving
+from catalogmap.operators.neighbors import scan_top_k
 from catalogmap.sources import catalog, tables
 from catalogmap.streaming import assign
 
@@ -26,10 +27,28 @@ def test_ndjson_tolerates_bad_lines_and_numbers(spark, tmp_path):
     assert got[0]["first_author_id"] == "5" and len(got[0]["shelves"]) == 10
     assert got[1]["first_author_id"] is None and got[1]["average_rating"] is None
     assert catalog.read_ndjson(spark, str(path), catalog.BOOKS_RAW, sample=1).count() == 1
+    counted = catalog.count_dropped(spark.read.text(str(path)), "value").first()
+    assert (counted["n_rows"], counted["n_dropped"]) == (2, 1)
     with pytest.raises(Exception):
         catalog.read_ndjson(spark, str(path), catalog.GENRES_RAW, strict=True).collect()
 
 
+def test_one_unfit_field_costs_no_row(spark):
+    lines = [
+        '{"book_id":"1","series":"text","authors":[{"author_id":"5"}]}', '{"book_id":"2","title":"T","authors":"x"}',
+        '{"book_id":"3","num_pages":{"a":1},"series":["s"]}', "[1]", "7", "null", '{"book_id":"4"', "{}",
+    ]
+    df = spark.createDataFrame([(x,) for x in lines], "value string")
+    got = {r["book_id"]: r for r in catalog.project_books(catalog.parse_ndjson(df, "value", catalog.BOOKS_RAW)).collect()}
+    assert set(got) == {"1", "2", "3", None}
+    assert got["1"]["series_ids"] is None and got["1"]["first_author_id"] == "5"
+    assert got["2"]["title"] == "T" and got["2"]["first_author_id"] is None
+    assert got["3"]["num_pages"] is None and got["3"]["series_ids"] == ["s"]
+    genres = spark.createDataFrame([('{"book_id":"1","genres":{"a":"2","b":null,"c":"x","d":3}}',), ('{"book_id":"2","genres":{"a":null}}',)], "value string")
+    top = {r["book_id"]: r["top_genre"] for r in catalog.project_genres(catalog.parse_ndjson(genres, "value", catalog.GENRES_RAW)).collect()}
+    assert top == {"1": "d", "2": None}
+
+
 def test_optional_source(spark, tmp_path):
     schema = catalog.SERIES_RAW
     empty = catalog.read_optional(spark, lambda: spark.read.schema(schema).json(str(tmp_path / "none.json")), schema)
@@ -131,9 +150,38 @@ def test_fusion_blocks(spark):
 
 
 def test_packing_limits():
-    assert models.batch_numbers([1] * 130) == [0] * 128 + [1] * 2
-    assert models.batch_numbers([200, 100, 400, 1], max_tokens=300) == [0, 0, 1, 2]
-    assert models.estimate_tokens(models.clip_text("")) == 1 and len(models.clip_text("x" * 9000)) == 8000
+    assert models.request_bounds(np.ones(130)) == [0, 128, 130]
+    assert models.request_bounds(np.array([200, 100, 400, 1]), max_tokens=300) == [0, 2, 3, 4]
+    assert models.request_bounds(np.array([])) == [0]
+
+
+def test_long_texts_are_read_whole(spark):
+    def first_letters(texts):
+        assert all(len(t) <= 10 for t in texts)
+        return np.array([[t.count("a"), t.count("b")] for t in texts], float)
+
+    df = spark.createDataFrame([("1", "a" * 10 + "b" * 10), ("2", "a" * 10 + "b" * 5), ("3", None), ("4", "b")], "book_id string, t string")
+    got = {r["book_id"]: list(r["vector"]) for r in models.embed_texts(df, "t", first_letters, max_chars=10).collect()}
+    assert got["1"] == pytest.approx([2**-0.5, 2**-0.5])
+    assert got["2"] == pytest.approx(np.array([100, 25]) / np.hypot(100, 25))
+    assert got["3"] == [0, 0] and got["4"] == [0, 1]
+
+
+def test_hashed_vectors_keep_rows(spark):
+    rows = [(1, "red red roses"), (1, "red red roses"), (1, "other words"), (None, ""), (2, None), (3, "x " * 9000 + "tail tail")]
+    got = models.hashed_vectors(spark.createDataFrame(rows, "book_id long, t string"), "t").collect()
+    assert sorted(str(r["book_id"]) for r in got) == sorted(str(i) for i, _ in rows)
+    assert all(len(r["vector"]) == 64 for r in got)
+    norms = {str(r["book_id"]): np.linalg.norm(r["vector"]) for r in got}
+    assert norms["None"] == norms["2"] == 0 and norms["3"] == pytest.approx(1)
+
+
+def test_near_copies_come_by_distance(spark):
+    base = np.array([1.0, 0, 0])
+    points = [(1, [1.0, 2e-5, 0.0]), (2, [1.0, 1e-5, 0.0]), (3, [0.0, 1.0, 0.0])]
+    df = spark.createDataFrame([(i, v) for i, v in points], "book_id int, vector array<double>")
+    asked = spark.createDataFrame([(9, base.tolist())], "book_id int, vector array<double>")
+    assert [r["near"] for r in scan_top_k(asked, df, 2).orderBy("rank").collect()] == [2, 1]
 
 
 def test_embedding_requests(spark):
