@@ -52,13 +52,59 @@ def linked_components(spark: SparkSession, sf: str) -> DataFrame:
     return graph.connected_components(graph.undirected(near), nodes)
 
 
-@query()
+# Prim's tree in the total order (weight, ends): one row enters per round
+TREE = f"""{DIST},
+m AS MATERIALIZED (SELECT d.id AS a, near AS b, {{'w': greatest(dist, x.core, y.core), 'u': least(d.id, near), 'v': greatest(d.id, near)}} AS e
+  FROM d JOIN core x ON x.id = d.id JOIN core y ON y.id = near),
+grow(step, id, e, done) AS (
+  SELECT 0, b, e, false FROM m WHERE a = (SELECT min(id) FROM u)
+  UNION ALL
+  SELECT step + 1, p.id, CASE WHEN p.done OR p.id = pick THEN p.e ELSE least(p.e, m.e) END, p.done OR p.id = pick
+  FROM (SELECT *, arg_min(id, e) FILTER (NOT done) OVER () AS pick FROM grow) p LEFT JOIN m ON m.a = p.pick AND m.b = p.id
+  WHERE pick IS NOT NULL),
+tree AS (SELECT e.u AS u, e.v AS v, e.w AS w FROM grow WHERE step = (SELECT max(step) FROM grow))"""
+
+
+@query(f"WITH RECURSIVE {TREE} SELECT u, v, round(w, 6) AS w FROM tree")
 def spanning_forest(spark: SparkSession, sf: str) -> DataFrame:
     """Exact spanning tree of the mutual-reachability graph."""
     tree = density.reachability_forest(roles.vectors(spark, sf), MIN_SAMPLES, near=_near(spark, sf))
     return tree.select("u", "v", F.round("w", 6).alias("w"))
 
 
+# The merge list, one edge per round. Lists hold a value per row: its part, the weight at which the part grew
+# large enough, whether the part holds a split, the worth of its chosen clusters and the edge that formed it.
+MERGE_LIST = f"""{TREE},
+ix AS (SELECT id, row_number() OVER (ORDER BY id) AS i FROM u),
+es AS (SELECT row_number() OVER (ORDER BY w, u, v) AS step, a.i AS iu, b.i AS iv, w FROM tree JOIN ix a ON a.id = u JOIN ix b ON b.id = v),
+merge(step, part, settled, parted, kids, formed, leaf, eom) AS (
+  SELECT 0::BIGINT, list(i ORDER BY i), list(NULL::DOUBLE), list(false), list(0::DOUBLE), list('inf'::DOUBLE), list(0::BIGINT), list(0::BIGINT) FROM ix
+  UNION ALL
+  SELECT step + 1,
+    list_transform(part, lambda x: CASE WHEN x = b THEN a ELSE x END),
+    list_transform(settled, lambda t, i: CASE WHEN t IS NULL AND na + nb >= {MIN_SIZE} AND part[i] IN (a, b) THEN w ELSE t END),
+    list_transform(parted, lambda x, i: x OR (part[i] IN (a, b) AND (split OR pa OR pb))),
+    list_transform(kids, lambda x, i: CASE WHEN part[i] NOT IN (a, b) THEN x WHEN split THEN greatest(oa, ka) + greatest(ob, kb) WHEN na >= {MIN_SIZE} THEN ka WHEN nb >= {MIN_SIZE} THEN kb ELSE 0 END),
+    list_transform(formed, lambda x, i: CASE WHEN part[i] NOT IN (a, b) THEN x WHEN split THEN lam WHEN na >= {MIN_SIZE} THEN fa WHEN nb >= {MIN_SIZE} THEN fb ELSE 'inf'::DOUBLE END),
+    list_transform(leaf, lambda x, i: CASE WHEN split AND NOT parted[i] AND part[i] = a THEN 2 * step + 1 WHEN split AND NOT parted[i] AND part[i] = b THEN 2 * step + 2 ELSE x END),
+    list_transform(eom, lambda x, i: CASE WHEN split AND part[i] = a AND oa >= ka THEN 2 * step + 1 WHEN split AND part[i] = b AND ob >= kb THEN 2 * step + 2 ELSE x END)
+  FROM (SELECT *, na >= {MIN_SIZE} AND nb >= {MIN_SIZE} AS split,
+      list_sum(list_transform(range(1, len(part) + 1), lambda i: CASE WHEN part[i] = a THEN least(1 / greatest(settled[i], 1e-12), fa) - lam ELSE 0 END)) AS oa,
+      list_sum(list_transform(range(1, len(part) + 1), lambda i: CASE WHEN part[i] = b THEN least(1 / greatest(settled[i], 1e-12), fb) - lam ELSE 0 END)) AS ob
+    FROM (SELECT merge.*, w, 1 / greatest(w, 1e-12) AS lam, part[iu] AS a, part[iv] AS b, parted[iu] AS pa, parted[iv] AS pb, kids[iu] AS ka, kids[iv] AS kb,
+        formed[iu] AS fa, formed[iv] AS fb, len(list_filter(part, lambda x: x = part[iu])) AS na, len(list_filter(part, lambda x: x = part[iv])) AS nb
+      FROM merge JOIN es ON es.step = merge.step + 1))),
+last AS (SELECT * FROM merge ORDER BY step DESC LIMIT 1),
+found AS (SELECT id, 1 / greatest(settled[i], 1e-12) AS density, nullif(leaf[i], 0) AS leaf, nullif(eom[i], 0) AS eom FROM ix, last)"""
+
+
+def _numbered_sql(kind: str) -> str:
+    return f"""WITH RECURSIVE {MERGE_LIST},
+named AS (SELECT {kind} AS g, row_number() OVER (ORDER BY min(id)) - 1 AS c, max(density) AS top FROM found WHERE {kind} IS NOT NULL GROUP BY 1)
+SELECT id AS book_id, CAST(coalesce(c, -1) AS INTEGER) AS cluster_id, round(CASE WHEN c IS NULL THEN 0 ELSE density / top END, 6) AS probability
+FROM found LEFT JOIN named ON g = {kind}"""
+
+
 def _clusters(spark: SparkSession, sf: str, selection: str = "leaf") -> DataFrame:
     v = roles.vectors(spark, sf).select("book_id", "vector")
     forest = density.reachability_forest(v, MIN_SAMPLES, near=_near(spark, sf))
@@ -69,12 +115,12 @@ def _six(df: DataFrame) -> DataFrame:
     return df.select("book_id", "cluster_id", F.round("probability", 6).alias("probability"))
 
 
-@query()
+@query(_numbered_sql("leaf"))
 def density_clusters_leaf(spark: SparkSession, sf: str) -> DataFrame:
     return _six(_clusters(spark, sf))
 
 
-@query()
+@query(_numbered_sql("eom"))
 def density_clusters_eom(spark: SparkSession, sf: str) -> DataFrame:
     return _six(_clusters(spark, sf, "eom"))
 
@@ -123,13 +169,45 @@ def silhouette(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.silhouette(roles.vectors(spark, sf))
 
 
-@query()
+@query("""WITH RECURSIVE p AS (SELECT vec_id AS id, label AS c, embedding::DOUBLE[] AS v FROM embeddings WHERE label >= 0),
+n AS (SELECT c, count(*) AS n FROM p GROUP BY c),
+d AS MATERIALIZED (SELECT a.id AS a, b.id AS b, a.c AS ca, b.c AS cb, list_distance(a.v, b.v) AS dist, len(a.v) AS dim FROM p a JOIN p b ON a.id <> b.id),
+core AS (SELECT a AS id, ca AS c, CASE WHEN sum(CASE WHEN dist > 0 THEN pow(1 / dist, dim) ELSE 0 END) > 0
+   THEN pow(sum(CASE WHEN dist > 0 THEN pow(1 / dist, dim) ELSE 0 END) / (any_value(n) - 1), -1.0 / any_value(dim)) ELSE 0 END AS core
+  FROM d JOIN n ON n.c = ca WHERE ca = cb GROUP BY ALL),
+m AS MATERIALIZED (SELECT a, b, ca, cb, {'w': greatest(dist, x.core, y.core), 'u': least(a, b), 'v': greatest(a, b)} AS e FROM d JOIN core x ON x.id = a JOIN core y ON y.id = b),
+first AS (SELECT c, min(id) AS id FROM p GROUP BY c),
+grow(step, c, id, e, done) AS (
+  SELECT 0, ca, b, e, false FROM m JOIN first ON first.id = a WHERE ca = cb
+  UNION ALL
+  SELECT step + 1, q.c, q.id, CASE WHEN q.done OR q.id = pick THEN q.e ELSE least(q.e, m.e) END, q.done OR q.id = pick
+  FROM (SELECT *, arg_min(id, e) FILTER (NOT done) OVER (PARTITION BY c) AS pick FROM grow) q LEFT JOIN m ON m.a = q.pick AND m.b = q.id
+  WHERE pick IS NOT NULL),
+tree AS (SELECT c, e FROM grow QUALIFY step = max(step) OVER (PARTITION BY c)),
+deg AS (SELECT c, id, count(*) AS deg FROM (SELECT c, e.u AS id FROM tree UNION ALL SELECT c, e.v FROM tree) GROUP BY ALL),
+inn AS (SELECT c, id FROM deg QUALIFY deg > 1 OR (max(deg) OVER (PARTITION BY c) = 1 AND id = min(id) OVER (PARTITION BY c))),
+sparse AS (SELECT tree.c, coalesce(max(e.w) FILTER (e.u IN (SELECT id FROM inn) AND e.v IN (SELECT id FROM inn)), max(e.w)) AS s FROM tree GROUP BY tree.c),
+apart AS (SELECT ca AS c, min(e.w) AS s FROM m WHERE ca <> cb AND a IN (SELECT id FROM inn) AND b IN (SELECT id FROM inn) GROUP BY ca)
+SELECT round(sum(n.n * (apart.s - sparse.s) / greatest(apart.s, sparse.s)) / (SELECT count(*) FROM p), 4) AS dbcv
+FROM n JOIN sparse ON sparse.c = n.c JOIN apart ON apart.c = n.c""")
 def dbcv(spark: SparkSession, sf: str) -> DataFrame:
     """Density-based validity of the given labels."""
     return metrics.dbcv(roles.vectors(spark, sf)).select(F.round("dbcv", 4).alias("dbcv"))
 
 
-@query()
+@query("""WITH RECURSIVE un AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings),
+d AS (SELECT a.id, b.id AS near, round(list_distance(a.v, b.v), 9) AS dist FROM un a JOIN un b ON a.id <> b.id),
+k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, near) AS rank FROM d QUALIFY rank <= 15),
+l AS (SELECT id, list(dist ORDER BY rank) AS ds, coalesce(min(dist) FILTER (dist > 0), 0) AS floor, avg(dist) AS mean, count(*) AS n FROM k GROUP BY id),
+b(step, id, far, goal, low, high, scale) AS (
+  SELECT 0, id, list_transform(ds, lambda x: greatest(x - floor, 0)), log2(greatest(n, 2)), 0::DOUBLE, 'inf'::DOUBLE, 1::DOUBLE FROM l
+  UNION ALL
+  SELECT step + 1, id, far, goal, lo, hi, greatest(CASE WHEN isfinite(hi) THEN (lo + hi) / 2 ELSE scale * 2 END, 1e-12) FROM (
+    SELECT *, CASE WHEN total > goal THEN low ELSE scale END AS lo, CASE WHEN total > goal THEN scale ELSE high END AS hi
+    FROM (SELECT *, list_sum(list_transform(far, lambda x: exp(-x / scale))) AS total FROM b WHERE step < 64))),
+w AS (SELECT k.id, near, exp(-greatest(dist - floor, 0) / greatest(scale, 1e-3 * mean)) AS w FROM k JOIN l USING (id) JOIN b ON b.id = k.id AND step = 64),
+s AS (SELECT least(id, near) AS u, greatest(id, near) AS v, sum(w) AS s, sum(w * w) AS q, count(*) AS n FROM w GROUP BY ALL)
+SELECT u, v, round(CASE WHEN n > 1 THEN s - (s * s - q) / 2 ELSE s END, 6) AS w FROM s""")
 def fuzzy_graph(spark: SparkSession, sf: str) -> DataFrame:
     edges = reduce.fuzzy_graph(_near(spark, sf, "cosine"))
     return edges.select("u", "v", F.round("w", 6).alias("w"))
