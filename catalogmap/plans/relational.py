@@ -117,6 +117,33 @@ def ingest_series(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.project_series(catalog.parse_ndjson(lines, "line", catalog.SERIES_RAW))
 
 
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS series_id, s_name AS title FROM supplier")
+def optional_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """A newline-JSON file that is there, and one that is not: the second counts as empty."""
+    path = f"{scratch_dir(spark)}/series-{uuid.uuid4().hex}"
+    table(spark, sf, "supplier").select(F.col("s_suppkey").alias("series_id"), F.col("s_name").alias("title")).write.json(path)
+    read = lambda where: catalog.read_optional(spark, lambda: catalog.read_ndjson(spark, where, catalog.SERIES_RAW), catalog.SERIES_RAW)
+    return read(path).unionByName(read(f"{path}-missing"))
+
+
+@query("SELECT lang AS metric, CAST(count(*) AS DOUBLE) AS value FROM documents GROUP BY lang")
+def report_sink(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts written as a JSON report and read back."""
+    path = f"{scratch_dir(spark)}/report-{uuid.uuid4().hex}"
+    counts = table(spark, sf, "documents").groupBy(F.col("lang").alias("metric")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    tables.write_report(counts, path)
+    return spark.read.schema("metric string, value double").json(path)
+
+
+@query("SELECT lang, source, count(*) AS n, sum(n_chars)::BIGINT AS n_chars FROM documents WHERE lang IN ('de', 'fr') GROUP BY ALL")
+def partitioned_storage(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents stored by language; a filter on it reads those folders only."""
+    path = f"{scratch_dir(spark)}/by-lang-{uuid.uuid4().hex}"
+    tables.write_table(table(spark, sf, "documents").select("doc_id", "source", "n_chars", "lang"), path, ["lang"])
+    kept = tables.read_table(spark, path).where(F.col("lang").isin("de", "fr"))
+    return kept.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("n_chars"))
+
+
 @query("""
 WITH c AS (
   SELECT p_partkey AS k, count(*) FILTER (l_returnflag = 'R') AS r, count(*) FILTER (l_returnflag = 'A') AS a,

@@ -13,6 +13,7 @@ from catalogmap.operators.neighbors import knn, scan_top_k, with_similarity
 from catalogmap.plans import roles
 from catalogmap.plans.registry import query, table
 from catalogmap.session import cut, scratch_dir
+from catalogmap.sources import tables
 from catalogmap.streaming import assign
 
 LONG = "e AS (SELECT vec_id AS book_id, label, unnest(range(0, len(embedding))) AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings)"
@@ -35,6 +36,23 @@ def l2_normalize(spark: SparkSession, sf: str) -> DataFrame:
     return roles.spread(v.select("book_id", l2("vector").alias("vector")), "book_id")
 
 
+@query("""WITH e AS (SELECT vec_id AS book_id, unnest(range(0, len(embedding))) AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings)
+SELECT book_id, pos, round(x / (sqrt(sum(x * x) OVER (PARTITION BY book_id)) + 1e-9), 6) AS value FROM e""")
+def l2_normalize_eps(spark: SparkSession, sf: str) -> DataFrame:
+    """The serving form: the norm plus a small number divides."""
+    v = roles.vectors(spark, sf)
+    return roles.spread(v.select("book_id", l2("vector", 1e-9).alias("vector")), "book_id")
+
+
+@query("SELECT vec_id AS book_id, unnest(range(0, len(embedding))) AS pos, round(unnest(embedding)::DOUBLE, 6) AS value FROM embeddings")
+def vector_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors written as a table and read back; a table that does not exist adds no rows."""
+    path = f"{scratch_dir(spark)}/vectors-{uuid.uuid4().hex}"
+    tables.write_table(roles.vectors(spark, sf).select("book_id", "vector"), path)
+    missing = tables.read_vectors(spark, f"{path}-missing", "bigint")
+    return roles.spread(tables.read_vectors(spark, path).unionByName(missing), "book_id")
+
+
 def _review_vectors(spark: SparkSession, sf: str, books: int) -> DataFrame:
     """Vectors as reviews of ``books`` books, the label as votes."""
     return table(spark, sf, "embeddings").select(
