@@ -251,12 +251,10 @@ def assign_stream(spark: SparkSession, sf: str) -> DataFrame:
     arriving = spark.readStream.schema(schema).option("pathGlobFilter", "embeddings.parquet").parquet(sf)
     items = arriving.select(F.col("vec_id").alias("book_id"), F.col("embedding").alias("vector"))
     out = f"{scratch_dir(spark)}/assigned-{uuid.uuid4().hex}"
-    job = (
-        _assigned(items, fusion.centroids(known)).writeStream.format("parquet").outputMode("append")
-        .option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
-    )
-    job.awaitTermination()
-    return spark.read.parquet(out)
+    cents = cut(fusion.centroids(known))
+    assign.assign_stream(items, cents, out, f"{out}-state", -1.0).trigger(availableNow=True).start().awaitTermination()
+    stored = spark.read.parquet(out)
+    return stored.select("book_id", "cluster_id", F.round("similarity", 6).alias("similarity"))
 
 
 @query("""WITH s AS (SELECT date_trunc('day', ts) AS w, event_type, count(*) AS n FROM events GROUP BY ALL)

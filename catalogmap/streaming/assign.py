@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import DataStreamWriter
 
 from catalogmap.functions.vectors import dot
 from catalogmap.operators.neighbors import MAX_BROADCAST_BYTES, knn_join, stack, unit_rows, with_similarity
@@ -23,7 +24,7 @@ def assign_clusters(items: DataFrame, centroids: DataFrame, min_similarity: floa
     size = centroids.agg(F.coalesce(F.sum(F.size("centroid") * F.lit(8)), F.lit(0))).first()[0]
     if size > MAX_BROADCAST_BYTES:
         if items.isStreaming:
-            raise ValueError("centroid table too large to send to every micro-batch; assign in foreachBatch")
+            raise ValueError("this many centroids meet a stream in assign_stream()")
         return _assign_by_join(items, centroids, min_similarity, vec_col, id_col)
     rows = centroids.orderBy("cluster_id").collect()
     ids = np.array([r["cluster_id"] for r in rows], "int32")
@@ -50,6 +51,19 @@ def assign_clusters(items: DataFrame, centroids: DataFrame, min_similarity: floa
     return items.mapInPandas(nearest, schema)
 
 
+def assign_stream(items: DataFrame, centroids: DataFrame, path: str, state: str, min_similarity: float = 0.0, vec_col: str = "vector", id_col: str = "book_id") -> DataStreamWriter:
+    """A writer that assigns each micro-batch of ``items`` and stores it below ``path``; start it with a trigger.
+
+    Any number of centroids: a micro-batch is a static frame and may take the block join. A batch has a
+    folder of its own (``batch=n``) that a repeated run overwrites, so every row is stored once.
+    """
+
+    def store(batch: DataFrame, number: int) -> None:
+        assign_clusters(batch, centroids, min_similarity, vec_col, id_col).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return items.writeStream.foreachBatch(store).option("checkpointLocation", state)
+
+
 def _assign_by_join(items: DataFrame, centroids: DataFrame, min_similarity: float, vec_col: str, id_col: str) -> DataFrame:
     cents = centroids.select((-F.col("cluster_id") - 1).cast("string").alias("_c"), F.col("centroid").alias(vec_col))
     asked = items.select(F.col(id_col).cast("string").alias("_c"), vec_col)
