@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalogmap.operators.ranking import sample_exact, top_k_per_group
+from catalogmap.operators.ranking import first_rows, sample_exact, top_k_per_group
 from catalogmap.session import cut
 
 
@@ -39,7 +39,7 @@ def stratified_ids(
         return sample_exact(picked, id_col, n, seed)
     if picked_rows < n:
         rest = pool.join(picked, id_col, "left_anti")
-        extra = rest.orderBy(*order).limit(n - picked_rows).select(id_col)
+        extra = first_rows(rest, order, n - picked_rows).select(id_col)
         return picked.unionByName(extra)
     return picked
 

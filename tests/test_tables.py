@@ -90,7 +90,7 @@ def test_top_k_with_one_hot_group(spark):
 def test_large_sample_takes_the_same_rows(spark, monkeypatch):
     df = spark.range(5000).withColumnRenamed("id", "book_id")
     small = {r[0] for r in ranking.sample_exact(df, "book_id", 1234).collect()}
-    monkeypatch.setattr(ranking, "_SAMPLE_IN_ONE_STEP", 10)
+    monkeypatch.setattr(ranking, "MAP_SIDE_ROWS", 10)
     assert {r[0] for r in ranking.sample_exact(df, "book_id", 1234).collect()} == small
     assert ranking.sample_exact(df, "book_id", 9999).count() == 5000
 
@@ -149,6 +149,21 @@ def test_fusion_blocks(spark):
     assert np.allclose(got["b"], [1, 0, 0, 0, 0, 0], atol=1e-6)
 
 
+@pytest.mark.parametrize("k", [900, 1500])
+def test_large_k_in_a_hot_group(spark, k):
+    rows = [(i, "hot" if i % 10 else None, (i * 7919) % 5003) for i in range(6000)] + [(9000 + i, "few", i) for i in range(5)]
+    df = spark.createDataFrame(rows, "id int, g string, x int").repartition(5)
+    order = [F.desc("x"), F.col("id")]
+    want = {}
+    for g in ("hot", None, "few"):
+        best = sorted((r for r in rows if r[1] == g), key=lambda r: (-r[2], r[0]))[:k]
+        want |= {r[0]: n + 1 for n, r in enumerate(best)}
+    got = ranking.top_k_per_group(df, ["g"], order, k, "rank", salt_on=["id"])
+    assert {r["id"]: r["rank"] for r in got.collect()} == want
+    first = [r["id"] for r in ranking.first_rows(df, order, k).collect()]
+    assert sorted(first) == sorted(r[0] for r in sorted(rows, key=lambda r: (-r[2], r[0]))[:k])
+
+
 def test_packing_limits():
     assert models.request_bounds(np.ones(130)) == [0, 128, 130]
     assert models.request_bounds(np.array([200, 100, 400, 1]), max_tokens=300) == [0, 2, 3, 4]
