@@ -125,18 +125,12 @@ def density_clusters_eom(spark: SparkSession, sf: str) -> DataFrame:
     return _six(_clusters(spark, sf, "eom"))
 
 
-@query()
-def rescued_and_merged(spark: SparkSession, sf: str) -> DataFrame:
-    """Noise rows take their strongest cluster, then near-equal clusters merge."""
-    v = roles.vectors(spark, sf).select("book_id", "vector")
-    rescued = cut(merging.rescue_noise(_clusters(spark, sf), v))
-    return _six(merging.merge_clusters(rescued, v))
-
-
-MERGED = """cent AS (SELECT label, pos, avg(x) AS x FROM (SELECT label, unnest(range(0, len(embedding))) AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY ALL),
+def _merged_sql(source: str, threshold: float) -> str:
+    """goes (label, l) and num (l, c): the greedy merge of the labels of ``source`` (label, embedding)."""
+    return f"""cent AS (SELECT label, pos, avg(x) AS x FROM (SELECT label, unnest(range(0, len(embedding))) AS pos, unnest(embedding)::DOUBLE AS x FROM {source}) GROUP BY ALL),
 cn AS (SELECT label, pos, x / n AS x FROM (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY label)) AS n FROM cent)),
-ln AS (SELECT a.label AS a, b.label AS b FROM cn a JOIN cn b ON a.pos = b.pos AND a.label < b.label GROUP BY ALL HAVING sum(a.x * b.x) >= 0.2),
-ids AS (SELECT label, row_number() OVER (ORDER BY label) AS i FROM (SELECT DISTINCT label FROM embeddings)),
+ln AS (SELECT a.label AS a, b.label AS b FROM cn a JOIN cn b ON a.pos = b.pos AND a.label < b.label GROUP BY ALL HAVING sum(a.x * b.x) >= {threshold}),
+ids AS (SELECT label, row_number() OVER (ORDER BY label) AS i FROM (SELECT DISTINCT label FROM {source})),
 walk(i, leaders) AS (SELECT 0::BIGINT, []::INTEGER[] UNION ALL
   SELECT ids.i, CASE WHEN EXISTS (SELECT 1 FROM ln WHERE ln.b = ids.label AND list_contains(walk.leaders, ln.a)) THEN leaders ELSE list_append(leaders, ids.label) END
   FROM walk JOIN ids ON ids.i = walk.i + 1),
@@ -145,7 +139,26 @@ goes AS (SELECT ids.label, coalesce((SELECT min(a) FROM ln JOIN lead ON a = l WH
 num AS (SELECT l, row_number() OVER (ORDER BY l) - 1 AS c FROM (SELECT DISTINCT l FROM goes))"""
 
 
-@query(f"WITH RECURSIVE {MERGED} SELECT vec_id AS book_id, CAST(c AS INTEGER) AS cluster_id FROM embeddings JOIN goes USING (label) JOIN num USING (l)")
+@query(f"""WITH RECURSIVE {MERGE_LIST},
+named AS (SELECT leaf AS g, row_number() OVER (ORDER BY min(id)) - 1 AS c, max(density) AS top FROM found WHERE leaf IS NOT NULL GROUP BY 1),
+cl AS (SELECT id, coalesce(c, -1) AS c, CASE WHEN c IS NULL THEN 0 ELSE density / top END AS prob FROM found LEFT JOIN named ON g = leaf),
+marks AS (SELECT c, v FROM cl JOIN u USING (id) WHERE c >= 0 AND prob >= 1 - 1e-12),
+pulls AS (SELECT cl.id, marks.c AS o, 1 / greatest(min(list_distance(u.v, marks.v)), 1e-9) AS pull FROM cl JOIN u USING (id), marks WHERE cl.c < 0 GROUP BY ALL),
+saved AS (SELECT id, o, round(pull, 9) / sum(pull) OVER (PARTITION BY id) AS m FROM pulls
+  QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(pull, 9) DESC, o) = 1),
+rescued AS (SELECT cl.id, CAST(CASE WHEN m > 0.05 THEN o ELSE c END AS INTEGER) AS label, prob FROM cl LEFT JOIN saved USING (id)),
+placed AS (SELECT rescued.label, embedding FROM rescued JOIN embeddings ON vec_id = id WHERE rescued.label >= 0),
+{_merged_sql('placed', 0.92)}
+SELECT id AS book_id, CAST(coalesce(c, -1) AS INTEGER) AS cluster_id, round(prob, 6) AS probability
+FROM rescued LEFT JOIN goes USING (label) LEFT JOIN num USING (l)""")
+def rescued_and_merged(spark: SparkSession, sf: str) -> DataFrame:
+    """Noise rows take their strongest cluster, then near-equal clusters merge."""
+    v = roles.vectors(spark, sf).select("book_id", "vector")
+    rescued = cut(merging.rescue_noise(_clusters(spark, sf), v))
+    return _six(merging.merge_clusters(rescued, v))
+
+
+@query(f"WITH RECURSIVE {_merged_sql('embeddings', 0.2)} SELECT vec_id AS book_id, CAST(c AS INTEGER) AS cluster_id FROM embeddings JOIN goes USING (label) JOIN num USING (l)")
 def merge_clusters(spark: SparkSession, sf: str) -> DataFrame:
     """Greedy centroid merge of the given labels, at a threshold that some of them pass."""
     v = roles.vectors(spark, sf)
