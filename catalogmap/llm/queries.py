@@ -127,8 +127,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def toxic_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Labelled documents outside the held-out fold: (doc_id, text, toxic)."""
-    known = labels.where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.where(~held_out()).select("doc_id", "text").join(known, "doc_id")
+    return toxicity.labelled_documents(docs, labels.where(~held_out()))
 
 
 def held_out():

@@ -21,7 +21,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalogmap.llm.rows import map_rows
+from catalogmap.session import cut
 
+#: Labelled documents that a model is fitted on, as a rule.
+TRAINING_ROWS = 20_000
 WORD_BYTES = 48
 REPEATS = 4
 BASE_WORDS = 8192
@@ -125,15 +128,28 @@ class ToxicityModel:
         return scored(text)
 
 
+def labelled_documents(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
+    """(doc_id, text, toxic) of about ``rows`` labelled documents, picked by a hash of doc_id.
+
+    ``labels`` has doc_id and toxic; several labels of a document count as the highest. The picked labels
+    are as many as ``rows`` says whatever the table, so they are broadcast and no text is shuffled.
+    """
+    known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    share = int(1_000_000 * min(1.0, rows / max(1, known.count())))
+    picked = F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1_000_000)) < share
+    return docs.select("doc_id", "text").where(picked).join(F.broadcast(known.where(picked)), "doc_id")
+
+
 def train(labelled: DataFrame, calibration_rows: int = 4000, candidates: int = 7) -> ToxicityModel:
     """Learns from ``labelled`` (columns doc_id, text, toxic); only text and toxic decide a score.
 
-    Two thirds of the rows (by a hash of doc_id) give the dictionaries: all their texts are counted, the
-    driver receives at most BASE_WORDS + MARKED_WORDS words. Of the rest about ``calibration_rows`` rows,
-    picked by the hash, choose the threshold and the weights. Rows with a null label or id are not used;
-    a null text is empty. Without any labelled toxic row the score is the same small number for all.
+    The rows are a bounded sample, see :func:`labelled_documents`. Two thirds of them (by a hash of doc_id)
+    give the dictionaries: all their texts are counted, the driver receives at most BASE_WORDS +
+    MARKED_WORDS words. Of the rest about ``calibration_rows`` rows, picked by the hash, choose the
+    threshold and the weights. Rows with a null label or id are not used; a null text is empty. Without any
+    labelled toxic row the score is the same small number for all.
     """
-    known = labelled.where("toxic is not null and doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
+    known = cut(labelled.where("toxic is not null and doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic")))
     part = F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(3_000_000))
     sizes = known.groupBy((part < 1_000_000).alias("held")).agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).collect()
     of = {r.held: r for r in sizes}
@@ -150,10 +166,9 @@ def train(labelled: DataFrame, calibration_rows: int = 4000, candidates: int = 7
     )
     expected = F.lit(float(nt)) * (F.col("o") + 1) / F.lit(float(max(1, no)))
     stands_out = ((F.col("t") - expected) / F.sqrt(expected + 1)).alias("z")
-    counted = counted.where("t + o >= 2").select("word", "t", "o", stands_out).persist()
+    counted = cut(counted.where("t + o >= 2").select("word", "t", "o", stands_out))
     base = [r.word.encode() for r in counted.where("o > 0").orderBy(F.desc("o"), "word").limit(BASE_WORDS).collect()][::-1]
     marked = [(r.z, r.word.encode()) for r in counted.where("z >= 3").orderBy(F.desc("z"), "word").limit(MARKED_WORDS).collect()][::-1]
-    counted.unpersist()
 
     if not marked or not no or True not in of or not 0 < of[True].t < of[True].n:
         rate = (nt + 0.5) / (nt + no + 50)
