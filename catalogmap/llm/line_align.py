@@ -25,6 +25,8 @@ from catalogmap.llm.rows import map_rows
 from catalogmap.session import cut
 
 LAST = 2**63 - 1
+#: Later holders of a run per copy of its first holder's lines.
+PARTNERS = 256
 
 
 def line_runs(text: str | None, least_words: int) -> tuple[list[int], list[int], list[int], list[int]]:
@@ -130,15 +132,21 @@ def copied_lines(docs: DataFrame, least_words: int = 25) -> DataFrame:
     lines = cut(map_rows(docs.select("doc_id", "text"), run, fields))
     held = lines.select("ord", "key", F.explode(F.array_distinct("runs")).alias("run")).where("run <> 0")
     me = F.struct("ord", "key")
-    shared = held.groupBy("run").agg(F.min(me).alias("first"), F.max(me).alias("last")).where("first <> last").select("run", "first.*").withColumnsRenamed({"ord": "first_ord", "key": "first_key"})
-    pairs = held.join(shared, "run").where("ord <> first_ord or key <> first_key").select("ord", "key", "first_ord", "first_key").distinct()
+    holders = held.groupBy("run").agg(F.min(me).alias("first"), F.max(me).alias("last"), F.count(F.lit(1)).alias("n"))
+    # a first holder with many partners is sent to them in several copies, so that no task meets them all
+    copies = F.ceil(F.col("n") / PARTNERS).cast("int").alias("copies")
+    shared = holders.where("first <> last").select("run", F.col("first.ord").alias("first_ord"), F.col("first.key").alias("first_key"), copies)
+    pairs = held.join(shared, "run").where("ord <> first_ord or key <> first_key").groupBy("ord", "key", "first_ord", "first_key").agg(F.max("copies").alias("copies"))
+    pairs = pairs.withColumn("copy", F.pmod(F.xxhash64("ord", "key"), F.col("copies")).cast("int"))
+    sent = shared.groupBy("first_ord", "first_key").agg(F.max("copies").alias("copies"))
 
     # Only lines that are shared at all take part in an alignment, but blocks need their neighbours' places:
     # whole sequences of 64-bit line hashes travel, not texts.
     whole = lines.dropDuplicates(["ord", "key"])
     later = whole.select("ord", "key", "doc_id", "places", F.col("hashes").alias("b"), "words", F.col("runs").alias("b_runs"))
     first = whole.select(F.col("ord").alias("first_ord"), F.col("key").alias("first_key"), F.col("hashes").alias("a"), F.col("runs").alias("a_runs"))
-    met = pairs.join(later, ["ord", "key"]).join(first, ["first_ord", "first_key"]).select("ord", "key", "doc_id", "places", "words", "a", "a_runs", "b", "b_runs")
+    first = first.join(sent, ["first_ord", "first_key"]).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+    met = pairs.join(later, ["ord", "key"]).join(first, ["first_ord", "first_key", "copy"]).select("ord", "key", "doc_id", "places", "words", "a", "a_runs", "b", "b_runs")
 
     def align(rows: Iterator[tuple]) -> Iterator[tuple]:
         for order, key, doc_id, places, words, a, a_runs, b, b_runs in rows:
