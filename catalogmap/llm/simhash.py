@@ -197,7 +197,7 @@ def choose_pieces(count: int, max_bits: int, block_rows: int) -> int:
 def linked_fingerprints(distinct: DataFrame, count: int, max_bits: int = 4, block_rows: int = 4096) -> DataFrame:
     """(u, v): links between the fingerprints of ``distinct`` (column fp) that connect all that are near.
 
-    ``max_bits`` of 63 or more would link everything; it must leave at least one agreeing range.
+    ``max_bits`` lies in 0..31, so that at least one range of two bits or more agrees.
     """
     if not 0 <= max_bits < 32:
         raise ValueError("max_bits must lie in 0..31")
