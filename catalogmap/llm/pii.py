@@ -6,7 +6,7 @@ the same way, so the lengths of the stretches between matches give each match's
 Words near a protected value (an address or number found by the patterns) are counted with it over all
 documents. The disclosure of a term is the share of its documents in which it stands beside that one
 value; a term above the thresholds names the value even when the value itself is masked, so it is
-generalised, or removed where it is all but certain. Contexts are told apart by min-hashes of their other
+generalised, or removed where it is all but certain, wherever it stands in any document. Contexts are told apart by min-hashes of their other
 words, so that copies and near copies of a document are no evidence.
 
 The quantifiers are possessive and a match may only begin where a run of its characters begins (or the last
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalogmap.session import cut
+from catalogmap.session import cut, cut_counted
 
 KINDS = ("email", "ip", "card", "phone", "term")
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -67,8 +67,19 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("key"))
 
 
+def _reach(pieces: Column, back: bool) -> Column:
+    """Up to REACH code points next to a match, from the pieces of text on one side, nearest first."""
+    clipped = F.transform(pieces, lambda p: F.substring(p, -REACH, REACH) if back else F.substring(p, 1, REACH))
+
+    def add(text: Column, p: Column) -> Column:
+        return F.when(F.length(text) >= REACH, text).otherwise(F.concat(p, text) if back else F.concat(text, p))
+
+    joined = F.aggregate(clipped, F.lit(""), add)
+    return F.substring(joined, -REACH, REACH) if back else F.substring(joined, 1, REACH)
+
+
 def _matches(keyed: DataFrame) -> DataFrame:
-    """(doc_id, key, kind, nth, gap, value, before, after) per match of a pattern, valid or not."""
+    """(doc_id, key, kind, nth, gap, value, valid, before, after) per match of a pattern; contexts of valid ones."""
     def walk(kind: int) -> Column:
         between, found = F.split("text", PATTERNS[kind], -1), F.regexp_extract_all("text", F.lit(PATTERNS[kind]), F.lit(0))
         holds = F.col("text").contains("@") if kind == 0 else F.col("text").rlike(NEEDS[kind])
@@ -76,10 +87,19 @@ def _matches(keyed: DataFrame) -> DataFrame:
 
     walked = keyed.select("doc_id", "key", F.explode(F.array(*map(walk, range(4)))).alias("w")).where("size(w.found) > 0")
 
+    def side(i: Column, back: bool) -> Column:
+        # a match and the stretch beside it have two code points at least, so that many pairs reach far enough
+        pairs = F.least(F.lit(REACH), i if back else F.size("w.found") - 1 - i)
+        places = F.when(pairs > 0, F.sequence(F.lit(1), pairs)).otherwise(F.array().cast("array<int>"))
+        nearest = F.array(F.get("w.between", i if back else i + 1))
+        more = F.transform(places, lambda k: F.concat(F.get("w.between", i - k), F.get("w.found", i - k)) if back else F.concat(F.get("w.found", i + k), F.get("w.between", i + k + 1)))
+        return _reach(F.concat(nearest, more), back)
+
     def one(value: Column, i: Column) -> Column:
+        valid = _valid(F.col("w.kind"), value)
         return F.struct(
-            F.length(F.get("w.between", i)).alias("gap"), value.alias("value"),
-            F.substring(F.get("w.between", i), -REACH, REACH).alias("before"), F.substring(F.get("w.between", i + 1), 1, REACH).alias("after"),
+            F.length(F.get("w.between", i)).alias("gap"), value.alias("value"), valid.alias("valid"),
+            F.when(valid, side(i, True)).alias("before"), F.when(valid, side(i, False)).alias("after"),
         )
 
     each = walked.select("doc_id", "key", "w.kind", F.posexplode(F.transform("w.found", one)).alias("nth", "m"))
@@ -94,7 +114,7 @@ def base_spans(docs: DataFrame) -> DataFrame:
     matches = _matches(_keyed(docs)).dropDuplicates(["doc_id", "key", "kind", "nth"])
     upto = "OVER (PARTITION BY doc_id, key, kind ORDER BY nth)"
     placed = matches.withColumn("end", F.expr(f"sum(gap + length(value)) {upto}")).withColumn("start", F.col("end") - F.length("value"))
-    return placed.where(_valid(F.col("kind"), F.col("value"))).select("doc_id", "key", "kind", "start", "end", "value", "before", "after")
+    return placed.where("valid").select("doc_id", "key", "kind", "start", "end", "value", "before", "after")
 
 
 def _words(context: Column, offset: Column, last: bool, width: int) -> Column:
@@ -147,15 +167,36 @@ def disclosing_terms(docs: DataFrame, near: DataFrame, least_contexts: int = 3,
     return joined.withColumn("disclosure", disclosure).where((F.col("disclosure") >= least_share) & (bits >= least_bits)).select("kind", "entity", "term", "disclosure")
 
 
+def term_places(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(doc_id, key, start, end, disclosure): every occurrence of ``terms`` (term, disclosure) in any document."""
+    keyed, word = _keyed(docs), F.lit(TERM)
+    held = keyed.select("doc_id", "key", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", word, F.lit(0)), F.lower))).alias("term"))
+    holders = held.join(terms, "term").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))
+    walked = keyed.join(holders, same, "left_semi").select("doc_id", "key", F.split("text", TERM, -1).alias("between"), F.regexp_extract_all("text", word, F.lit(0)).alias("found"))
+
+    def one(value: Column, i: Column) -> Column:
+        return F.struct(F.length(F.get("between", i)).alias("gap"), F.length(value).alias("n"), F.lower(value).alias("term"))
+
+    each = walked.select("doc_id", "key", F.posexplode(F.transform("found", one)).alias("nth", "m")).select("doc_id", "key", "nth", "m.*")
+    upto = "OVER (PARTITION BY doc_id, key ORDER BY nth)"
+    placed = each.dropDuplicates(["doc_id", "key", "nth"]).withColumn("end", F.expr(f"sum(gap + n) {upto}")).withColumn("start", F.col("end") - F.col("n"))
+    return placed.join(terms, "term").select("doc_id", "key", "start", "end", "disclosure")
+
+
 def find_spans(docs: DataFrame, remove_share: float = 0.9, **thresholds) -> DataFrame:
     """(doc_id, key, spans) per document with any span; spans are (kind, start, end, disclosure, action).
 
-    kind is the number in KINDS. Pattern spans are masked; a term is ``generalised``, from ``remove_share`` on
+    kind is the number in KINDS. Pattern spans are masked; a term is marked in every document, with its value or
+    without, and is ``generalised``, from ``remove_share`` on
     ``removed``. A term never overlaps a pattern span. ``docs`` has doc_id and text; a null text is empty.
     """
     base = cut(base_spans(docs))
     near = cut(context_terms(base))
-    shown = near.join(disclosing_terms(docs, near, **thresholds), ["kind", "entity", "term"])
+    terms, count = cut_counted(disclosing_terms(docs, near, **thresholds).groupBy("term").agg(F.max("disclosure").alias("disclosure")))
+    shown = near.join(terms, "term").select("doc_id", "key", "start", "end", "disclosure")
+    if count:
+        shown = shown.unionByName(term_places(docs, terms))
     added = shown.groupBy("doc_id", "key", "start", "end").agg(F.max("disclosure").alias("disclosure"))
     span = lambda kind, disclosure, action: F.struct(kind.alias("kind"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), disclosure.cast("double").alias("disclosure"), action.alias("action"))
     action = F.when(F.col("disclosure") >= remove_share, F.lit("removed")).otherwise(F.lit("generalised"))

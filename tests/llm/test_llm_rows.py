@@ -277,6 +277,33 @@ def test_disclosing_terms(spark):
     assert pii.with_spans(docs.limit(0)).count() == 0 and pii.sanitise(docs.limit(0)).count() == 0
 
 
+def test_disclosing_terms_go_wherever_they_stand(spark):
+    rng = random.Random(4)
+    words = ["alpha", "bravo", "delta", "echo", "golf", "hotel", "india", "kilo", "lima", "mike", "oscar", "papa", "romeo", "sierra"]
+    some = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(i, f"{some(8)} Zorbling {some(1)} joe@ex.com {some(9)}. {some(30)} ZORBLING é😀 {some(9)}") for i in range(8)]
+    rows += [(50 + i, f"{some(9)} Zorbling") for i in range(4)] + [(50, rows[0][1])] + [(None, "alone: zorbling")] * 2 + [(100 + i, some(20)) for i in range(400)]
+    docs, texts = spark.createDataFrame(rows, "doc_id long, text string"), [t for _, t in rows]
+    found = pii.with_spans(docs).collect()
+    assert len(found) == len(rows)
+    by_id = defaultdict(set)
+    for r in found:
+        by_id[r.doc_id].add(tuple((s.start, s.end) for s in r.spans if s.kind == 4))
+    want = defaultdict(set)
+    for (i, _), t in zip(rows, texts, strict=True):
+        want[i].add(tuple((at, at + 8) for at in range(len(t)) if t[at : at + 8].lower() == "zorbling"))
+    assert by_id == want
+    assert not any("zorbling" in r.text.lower() for r in pii.sanitise(docs).collect())
+
+
+def test_contexts_are_cut_from_the_whole_text(spark, private_texts):
+    cards = "Zorbling, born 1 2 1970 in 3, " + "4111 1111 1111 1111" + " x 7 x 8, Quorling 9 a@b.co"
+    texts = [cards, "é1 " * 300 + cards + " a@b.co 1😀" * 200, *private_texts]
+    for r in pii.base_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        text = texts[r.doc_id]
+        assert r.value == text[r.start : r.end] and (r.before, r.after) == (text[max(0, r.start - 400) : r.start], text[r.end : r.end + 400])
+
+
 def test_pii_plan_is_native(spark):
     plan = pii.sanitise(spark.createDataFrame([(1, "a@b.co")], "doc_id long, text string"))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
