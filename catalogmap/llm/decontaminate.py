@@ -4,12 +4,13 @@ A mask such as ``111011011`` hashes the marked tokens of a window and ignores th
 does not hide a passage. Hashes of the benchmark and of the training texts meet in an equi-join. Before
 it, training hashes pass a Bloom filter of the benchmark's hashes; its size is bounded whatever the
 benchmark, and what slips through is removed by the join. Each hit gives a diagonal (offset between
-document and item), along which the tokens are compared: the best stretch must be long and mostly equal.
+document and item), along which the tokens are compared: any stretch that is long and equal enough counts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import xxhash
@@ -118,27 +119,44 @@ def _bloom(seeds: DataFrame, count: int) -> Bloom:
     return Bloom(bits, {r.word: r.bits for r in words.collect()})
 
 
-def best_stretch(doc: np.ndarray, item: np.ndarray, diagonal: int, mismatch: int = 3) -> tuple[int, int, int]:
-    """(first token in the document, length, equal tokens) of the best stretch on a diagonal.
+def best_stretch(doc: np.ndarray, item: np.ndarray, diagonal: int, least_tokens: int = 13, least_share: float = 0.8) -> tuple[int, int, int] | None:
+    """(first token in the document, length, equal tokens) of the best valid stretch on a diagonal, or None.
 
-    Equal tokens count 1, others -``mismatch``; the stretch has the largest sum.
+    A stretch is valid with ``least_tokens`` tokens (a shorter item: all of its tokens) or more, of which
+    ``least_share`` or more are equal; the best has the most equal tokens, then the fewest others, then comes first.
     """
     lo, hi = max(0, diagonal), min(len(doc), diagonal + len(item))
-    if hi <= lo:
-        return lo, 0, 0
-    equal = doc[lo:hi] == item[lo - diagonal : hi - diagonal]
-    sums = np.concatenate(([0], np.cumsum(np.where(equal, 1, -mismatch))))
-    lowest = np.minimum.accumulate(sums)
-    end = int((sums - lowest).argmax())
-    start = int(sums[: end + 1].argmin())
-    return lo + start, end - start, int(equal[start:end].sum())
+    least = min(least_tokens, len(item))
+    if not least or hi - lo < least:
+        return None
+    equal = np.concatenate(([0], np.cumsum(doc[lo:hi] == item[lo - diagonal : hi - diagonal])))
+    share = Fraction(str(least_share))
+    sums = equal * share.denominator - np.arange(hi - lo + 1) * share.numerator  # matched >= share * length where it does not fall
+    # from each end the earliest start with a sum not above the end's; starts that are new lows are enough
+    lows = np.minimum.accumulate(sums)
+    ends = np.arange(least, hi - lo + 1)
+    starts = np.searchsorted(-lows, -sums[ends], "left")
+    fits = starts <= ends - least
+    if not fits.any():
+        return None
+    starts, ends = starts[fits], ends[fits]
+    matched = equal[ends] - equal[starts]
+    top = matched == matched.max()
+    # an unequal token at a rim is dropped where the stretch stays long enough
+    start, end = min(zip(starts[top].tolist(), ends[top].tolist(), strict=True), key=lambda s: (s[1] - s[0], s[0]))
+    same = np.diff(equal)
+    while end - start > least and not same[end - 1]:
+        end -= 1
+    while end - start > least and not same[start]:
+        start += 1
+    return lo + start, end - start, int(equal[end] - equal[start])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least_tokens: int = 13, least_share: float = 0.8) -> DataFrame:
     """(doc_id, item_id, start, length, matched, item_tokens): documents that hold a benchmark passage.
 
-    ``docs`` has doc_id and text, ``benchmark`` item_id and text. One row per document and item: the best
-    stretch over all diagonals with a seed hit. It must cover ``least_tokens`` tokens (a shorter item:
+    ``docs`` has doc_id and text, ``benchmark`` item_id and text. One row per document and item: the stretch
+    with the most equal tokens over all diagonals with a seed hit. It must cover ``least_tokens`` tokens (a shorter item:
     all of them) with at least ``least_share`` equal ones. Items without words match nothing; a null or
     empty text holds nothing. Rows without doc_id are compared too and reported with a null doc_id; rows
     that repeat an id are reported once. Items with a repeated id are compared each.
@@ -174,8 +192,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_tokens: int = 13,
     def verify(rows: Iterator[tuple]) -> Iterator[tuple]:
         for doc_id, item_id, doc, item, diagonals in rows:
             doc, item = np.array(doc, np.int64), np.array(item, np.int64)
-            start, length, matched = max((best_stretch(doc, item, d) for d in sorted(diagonals)), key=lambda s: (4 * s[2] - 3 * s[1], -s[0]))
-            if length >= min(least_tokens, len(item)) and matched >= least_share * length:
+            valid = [s for d in diagonals if (s := best_stretch(doc, item, d, least_tokens, least_share))]
+            if valid:
+                start, length, matched = max(valid, key=lambda s: (s[2], -s[1], -s[0]))
                 yield doc_id, item_id, start, length, matched, len(item)
 
     sides = (

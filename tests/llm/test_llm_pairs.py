@@ -170,6 +170,35 @@ def test_decontamination(spark):
     assert all(r.length >= r.matched >= 0.8 * r.length and r.start >= 0 for r in found)
 
 
+def test_any_stretch_by_the_stated_rule():
+    """A stretch is found exactly if some stretch of 13 tokens (or the whole short item) is 80 % equal."""
+    rng, item = random.Random(17), np.arange(1000, 1200)
+    for n in [1, 4, 5, 12, 13, 15, 20, 40, 200]:
+        for _ in range(60):
+            part = item[:n]
+            doc = np.concatenate((np.zeros(5, int), part, np.zeros(5, int)))
+            doc[[5 + i for i in range(n) if rng.random() < rng.choice((0.05, 0.2, 0.4))]] = 1
+            equal = [int(x) for x in doc[5 : 5 + n] == part]
+            valid = [(sum(equal[i:j]), i - j, -i) for i in range(n) for j in range(i + min(13, n), n + 1) if 5 * sum(equal[i:j]) >= 4 * (j - i)]
+            got = decontaminate.best_stretch(doc, part, 5)
+            assert (got is None) == (not valid)
+            if got:
+                at, length, matched = got
+                assert matched == sum(equal[at - 5 : at - 5 + length]) == max(valid)[0] and length >= min(13, n) and 5 * matched >= 4 * length
+
+
+def test_changed_words_beside_the_rim_are_found(spark):
+    rng = random.Random(19)
+    items = [passage(rng, n) for n in (12, 13, 60)]
+    docs = []
+    for k, at in ((0, [1]), (1, [2]), (2, [i for i in range(20, 60) if i % 2])):
+        words = items[k].split()
+        docs.append(f"{passage(rng, 30)} {' '.join('changed' if i in at else w for i, w in enumerate(words))} {passage(rng, 30)}")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = decontaminate.contaminated(spark.createDataFrame(rows_of(docs), DOCS), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(0, 0), (1, 1), (2, 2)}
+
+
 def test_decontamination_edge_rows(spark):
     rng = random.Random(3)
     item = passage(rng, 20)
