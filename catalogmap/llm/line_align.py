@@ -3,11 +3,12 @@
 A text is the sequence of its lines with words. A *run* is the shortest stretch of lines from a given line
 on that has ``least_words`` words: two documents share a block of that size exactly if they share a run,
 and runs of that many words are rare. Every run links its later holders to its first one only, so a
-passage in a third of all documents gives one pair per document and no pair is missed: what a later
-holder shares with any earlier one is also in the first. The two line sequences of a pair are aligned by
+passage in a third of all documents gives one pair per document and no run is missed: a run that a later
+holder shares with any earlier one is also in the first (lines after it that only a holder between them
+has, too few for a run of their own, stay). The two line sequences of a pair are aligned by
 patience diff (lines that occur once in both, in rising order, then the gaps between them); gaps without
-such lines are matched by their runs. Common blocks of ``least_words`` words or more are deleted from the
-later document. The first holder keeps its lines, so no text is lost.
+such lines are matched by their runs. An alignment may split a block, so every common stretch of the pair is
+looked up as well. Common blocks of ``least_words`` words or more are deleted from the later document. The first holder keeps its lines, so no text is lost.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import xxhash
@@ -113,6 +115,60 @@ def aligned_blocks(a: list[int], a_runs: list[int], b: list[int], b_runs: list[i
     return blocks + extra
 
 
+def common_stretches(a: list[int], b: list[int]) -> list[int]:
+    """Per line of b the lines of the longest stretch that ends there and stands anywhere in a.
+
+    A suffix automaton of a, so the time is linear in both.
+    """
+    steps: list[dict[int, int]] = [{}]
+    link, size, last = [-1], [0], 0
+    for c in a:
+        new = len(steps)
+        steps.append({})
+        link.append(0)
+        size.append(size[last] + 1)
+        p = last
+        while p >= 0 and c not in steps[p]:
+            steps[p][c] = new
+            p = link[p]
+        if p >= 0:
+            q = steps[p][c]
+            if size[p] + 1 == size[q]:
+                link[new] = q
+            else:
+                copy = len(steps)
+                steps.append(dict(steps[q]))
+                link.append(link[q])
+                size.append(size[p] + 1)
+                while p >= 0 and steps[p].get(c) == q:
+                    steps[p][c] = copy
+                    p = link[p]
+                link[q] = link[new] = copy
+        last = new
+    out, at, n = [], 0, 0
+    for c in b:
+        while at and c not in steps[at]:
+            at = link[at]
+            n = size[at]
+        if c in steps[at]:
+            at, n = steps[at][c], n + 1
+        out.append(n)
+    return out
+
+
+def copied_places(a: list[int], a_runs: list[int], b: list[int], b_runs: list[int], words: list[int], least_words: int) -> list[int]:
+    """The lines of b in a block of ``least_words`` words or more that stands in a."""
+    gone = {j for _, at, n in aligned_blocks(a, a_runs, b, b_runs) if sum(words[at : at + n]) >= least_words for j in range(at, at + n)}
+    if len(gone) < len(b):
+        sums = [0, *accumulate(words)]
+        upto = len(b)  # from the end, so that each line is added once
+        for end, n in zip(range(len(b), 0, -1), reversed(common_stretches(a, b)), strict=True):
+            if sums[end] - sums[end - n] >= least_words:
+                gone.update(range(end - n, min(end, upto)))
+                upto = min(upto, end - n)
+    return sorted(gone)
+
+
 def copied_lines(docs: DataFrame, least_words: int = 25) -> DataFrame:
     """(doc_id, key, lines): per document the places of the lines to delete; documents without any are absent.
 
@@ -150,9 +206,9 @@ def copied_lines(docs: DataFrame, least_words: int = 25) -> DataFrame:
 
     def align(rows: Iterator[tuple]) -> Iterator[tuple]:
         for order, key, doc_id, places, words, a, a_runs, b, b_runs in rows:
-            gone = [j for _, at, n in aligned_blocks(a, a_runs, b, b_runs) if sum(words[at : at + n]) >= least_words for j in range(at, at + n)]
+            gone = copied_places(a, a_runs, b, b_runs, words, least_words)
             if gone:
-                yield order, key, doc_id, sorted(places[j] for j in gone)
+                yield order, key, doc_id, [places[j] for j in gone]
 
     copied = map_rows(met, align, "ord long, key long, doc_id long, lines array<int>")
     merged = F.array_sort(F.array_distinct(F.flatten(F.collect_list("lines"))))

@@ -138,6 +138,25 @@ def test_copied_lines_edge_rows(spark):
     assert line_align.delete_copied_lines(docs.limit(0)).count() == 0
 
 
+def test_blocks_that_the_alignment_splits(spark):
+    rng = random.Random(23)
+    c, z, last, w = (passage(rng, 15) for _ in range(4))
+    docs = spark.createDataFrame([(1, "\n".join((c, z, c, last))), (2, "\n".join((c, last, w)))], "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_deleted) for r in line_align.delete_copied_lines(docs).collect()}
+    assert got == {1: ("\n".join((c, z, c, last)), 0), 2: (w, 2)}
+
+
+def test_every_common_block_goes():
+    rng = random.Random(29)
+    for _ in range(400):
+        lines = {i: rng.randint(1, 20) for i in range(1, 6)}
+        a, b = ([rng.randint(1, 5) for _ in range(rng.randint(0, 12))] for _ in range(2))
+        runs = lambda x: [next((hash(tuple(x[i:e])) for e in range(i + 1, len(x) + 1) if sum(lines[k] for k in x[i:e]) >= 25), 0) for i in range(len(x))]
+        held = {tuple(a[i:e]) for i in range(len(a)) for e in range(i + 1, len(a) + 1)}
+        want = {k for i in range(len(b)) for e in range(i + 1, len(b) + 1) if tuple(b[i:e]) in held and sum(lines[k] for k in b[i:e]) >= 25 for k in range(i, e)}
+        assert line_align.copied_places(a, runs(a), b, runs(b), [lines[k] for k in b], 25) == sorted(want)
+
+
 def test_patience_anchors_rise():
     assert line_align.patience_anchors([1, 2, 3, 4, 5], [1, 4, 2, 3, 5], 0, 5, 0, 5) == [(0, 0), (1, 2), (2, 3), (4, 4)]
     assert line_align.patience_anchors([1, 1], [1, 1], 0, 2, 0, 2) == []
