@@ -5,9 +5,9 @@ consecutive outputs shows where a turn stands; rendering the last turn with two
 its text stands inside that span. A template whose output for a prefix is not a prefix of the next output
 rewrites history, which is reported instead of a mask.
 
-Long conversations are rendered in steps: ``context`` turns before the one at hand stand for the history,
-so the work per turn is bounded. The assumption behind it, that a turn's output does not depend on turns
-further back, is tested at every step by dropping the oldest turn and comparing.
+A template that declares it (an attribute ``context``, or the argument) is rendered in steps: so many turns
+before the one at hand stand for the history, so the work per turn is bounded. That a turn's output does
+not depend on the turn before those is tested at every step by dropping it and comparing.
 """
 
 from __future__ import annotations
@@ -53,6 +53,10 @@ def plain_template(turns: list[Turn]) -> str:
     return "".join(f"### {escape(role).replace(':', chr(92) + ':')}: {escape(text)} {END}\n" for role, text in turns)
 
 
+#: A turn's output depends on nothing else; two turns are kept for the test at every step.
+plain_template.context = 2
+
+
 def read_role(head: str) -> str:
     """The role in what :func:`plain_template` writes before a text."""
     return unescape(head[len("### ") : -len(": ")])
@@ -64,16 +68,20 @@ def _grown(before: str, after: str) -> str:
     return after[len(before) :]
 
 
-def turn_spans(turns: Iterator[Turn], render: Render, context: int = 2) -> Iterator[tuple[Turn, str, int, int]]:
-    """(turn, its piece of the output, start and end of its text in the piece), one after the other."""
+def turn_spans(turns: Iterator[Turn], render: Render, context: int | None = None) -> Iterator[tuple[Turn, str, int, int]]:
+    """(turn, its piece of the output, start and end of its text in the piece), one after the other.
+
+    Without ``context`` (or the template's own) every prefix of the conversation is rendered.
+    """
+    context = getattr(render, "context", None) if context is None else context
     history: list[Turn] = []
-    base = render([])
-    shorter = None
-    if base:
+    shorter, whole = None, ""
+    if context is not None and render([]):
         raise RewritesHistory("the template writes text without turns")
     for turn in turns:
-        before = render(history)
-        piece = _grown(before, render([*history, turn]))
+        before = whole if context is None else render(history)
+        whole = render([*history, turn])
+        piece = _grown(before, whole)
         if shorter is not None and _grown(render(shorter), render([*shorter, turn])) != piece:
             raise RewritesHistory("a turn depends on turns further back than the context")
         first, second = (_grown(before, render([*history, (turn[0], p)])) for p in PROBES)
@@ -84,18 +92,22 @@ def turn_spans(turns: Iterator[Turn], render: Render, context: int = 2) -> Itera
         if first[same + 1 :] != second[same + 1 :] or piece[:same] != first[:same] or len(piece) < same + tail or piece[len(piece) - tail :] != first[same + 1 :]:
             raise RewritesHistory("a turn's frame depends on its text")
         yield turn, piece, same, len(piece) - tail
-        history = [*history, turn][-context - 1 :]
+        history.append(turn)
+        if context is None:
+            continue
+        history = history[-context - 1 :]
         shorter = history[1:] if len(history) > context else None
 
 
-def format_conversations(rows: DataFrame, render: Render = plain_template, unescaped: Callable[[str], str] = unescape, role_of: Callable[[str], str] = read_role, loss_roles: tuple[str, ...] = ("assistant",), context: int = 2, keep_text: bool = True) -> DataFrame:
+def format_conversations(rows: DataFrame, render: Render = plain_template, unescaped: Callable[[str], str] = unescape, role_of: Callable[[str], str] = read_role, loss_roles: tuple[str, ...] = ("assistant",), context: int | None = None, keep_text: bool = True) -> DataFrame:
     """One row per conversation of ``rows`` (columns conv_id, turn, role, text).
 
     ``unescaped`` and ``role_of`` read a text and a turn's head back from the output. Turns come by turn (nulls first), ties by role and text; repeated rows are turns of their own. A null
     role or text is empty. Rows without conv_id form one conversation with a null id. Columns: n_turns,
     turns_sha256 (of role, newline, text, newline per turn), loss_chars and loss_sha256 (of the unescaped
     text under the loss mask), formatted_chars, rewrites_history, text and spans (code points; with
-    ``keep_text``, else null: then a task holds one turn, not the conversation). If the template rewrites
+    ``keep_text``, else null: then a task holds one turn, not the conversation, if the template declares a
+    ``context``, see :func:`turn_spans`). If the template rewrites
     history, the flag is set and everything read from the output is null.
     """
 

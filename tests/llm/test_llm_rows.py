@@ -164,6 +164,20 @@ def test_turn_spans_of_other_templates():
             list(chat_format.turn_spans(iter(turns), template))
 
 
+def test_real_prefixes_are_rendered():
+    turns = [(r, f"text {i}") for i, r in enumerate(["user", "assistant"] * 4)]
+    for window in (4, 6, 7):
+        with pytest.raises(chat_format.RewritesHistory):
+            list(chat_format.turn_spans(iter(turns), lambda ts, w=window: "".join(f"<{t}>" for _, t in ts[-w:])))
+
+    def strict(ts):
+        assert ts[0][0] == "user"
+        return "".join(f"{i}:<{t}>" for i, (_, t) in enumerate(ts))
+
+    got = list(chat_format.turn_spans(iter(turns), strict))
+    assert "".join(piece for _, piece, _, _ in got) == strict(turns) and [piece[a:b] for _, piece, a, b in got] == [t for _, t in turns]
+
+
 def test_format_conversations(spark):
     rows = [(1, 1, "assistant", "b\\## </turn>"), (1, 0, "user", "a"), (2, 0, None, None), (2, None, "assistant", "first"), (None, 5, "us:er", "x"), (3, 0, "assistant", "t"), (3, 0, "assistant", "t")]
     data = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("spans", F.lit(1))
