@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalogmap.llm import chat_format, decontaminate, line_align, packing, pii, quality_trees, simhash, toxicity, url_rules, warc
+from catalogmap.llm import bbit_minhash, chat_format, decontaminate, line_align, max_sketch, packing, pii, quality_trees, simhash, toxicity, url_rules, warc
 from catalogmap.plans.registry import Query, table
 from catalogmap.session import scratch_dir
 
@@ -170,3 +170,53 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"] < 4)
     counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS[:4])]
     return found.select("doc_id", *counts, F.sha2(pii.span_list(base), 256).alias("base_sha256"), pii.span_list(F.col("spans")).alias("spans"))
+
+
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+@query(
+    f"""
+    WITH words AS (
+        SELECT row_number() OVER () AS d, doc_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{TERM}')) AS term FROM documents
+    ), tf AS (SELECT d, doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+    size AS (SELECT d, count(*) AS n FROM words GROUP BY d),
+    figures AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM size),
+    asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{TERM}')) AS term FROM benchmark),
+    weights AS (
+        SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w
+        FROM tf, figures WHERE term IN (SELECT term FROM asked) GROUP BY term
+    ), scores AS (
+        SELECT item_id, doc_id, d, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms)))) AS BIGINT) AS score
+        FROM asked JOIN weights USING (term) JOIN tf USING (term) JOIN size USING (d), figures GROUP BY ALL
+    )
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+    FROM scores WHERE score > 0 QUALIFY rank <= 10
+    """
+)
+def op11_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of all for every benchmark item."""
+    return max_sketch.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+@query(
+    f"""
+    WITH RECURSIVE texts AS (
+        SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+    ), grams AS (
+        SELECT DISTINCT d, array_to_string(words[i : i + 3], ' ') AS gram
+        FROM (SELECT d, words, unnest(range(1, greatest(len(words) - 3, 1) + 1)) AS i FROM texts WHERE len(words) > 0)
+    ), sizes AS (SELECT d, count(*) AS n FROM grams GROUP BY d),
+    common AS (SELECT a.d AS a, b.d AS b, count(*) AS c FROM grams a JOIN grams b ON a.gram = b.gram AND a.d < b.d GROUP BY ALL),
+    links AS (SELECT a, b FROM common JOIN sizes x ON x.d = a JOIN sizes y ON y.d = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+    both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+    reach(d, o) AS (SELECT d, d FROM texts UNION SELECT reach.d, b FROM reach JOIN both_ways ON a = o),
+    classes AS (SELECT reach.d, min(doc_id) AS component_id FROM reach JOIN texts ON texts.d = o GROUP BY reach.d)
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept
+    FROM texts JOIN classes USING (d) LEFT JOIN sizes USING (d)
+    """
+)
+def op13_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of all documents by their whole shingle sets."""
+    return bbit_minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
