@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
+from collections.abc import Iterator
+from itertools import groupby
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalogmap.llm import bbit_minhash, chat_format, decontaminate, line_align, max_sketch, packing, pii, quality_trees, simhash, toxicity, url_rules, warc
+from catalogmap.llm import bbit_minhash, chat_format, conversation_repair, decontaminate, line_align, max_sketch, packing, pii, quality_trees, simhash, toxicity, url_rules, warc
+from catalogmap.llm.rows import map_rows
 from catalogmap.plans.registry import Query, table
 from catalogmap.session import scratch_dir
 
@@ -220,3 +224,108 @@ def op11_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of all documents by their whole shingle sets."""
     return bbit_minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Rows with faults by crc32 of ``conv_id:turn`` modulo 20; nulls are one space."""
+    text = [F.coalesce(F.col(c).cast("string"), F.lit(" ")).alias(c) for c in ("role", "text")]
+    key = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    marked = conversations.select("conv_id", "turn", *text, F.pmod(F.crc32(key.cast("binary")), F.lit(20)).alias("fault")).where("fault <> 0")
+    faulty = F.when(F.col("fault") == 1, F.lit("")).when(F.col("fault") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("fault") == 4, F.lit("user")).otherwise(F.col("role"))
+    return marked.select("conv_id", "turn", role.alias("role"), faulty.alias("text"), F.explode(F.sequence(F.lit(1), F.when(F.col("fault") == 3, 2).otherwise(1)))).drop("col")
+
+
+def repaired_digests(steps: DataFrame) -> DataFrame:
+    """(conv_id, cost, audit, repaired_sha256) of the edits of :func:`conversation_repair.repair`, read as a sorted stream."""
+
+    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for conv_id, group in groupby(rows, key=lambda r: r[0]):
+            audit, cost, whole, between = [], 0, hashlib.sha256(), ""
+            for _, _, _, edit, role, text, price in group:
+                audit.append(edit)
+                cost += price
+                if role is not None:
+                    whole.update(f"{between}{role}:{text}".encode("utf-8", "surrogatepass"))
+                    between = "\n"
+            yield conv_id, cost, "".join(audit), whole.hexdigest()
+
+    order = ["conv_id", "place", "step"]
+    ordered = steps.select(*order, "edit", "role", "text", "cost").repartition("conv_id").sortWithinPartitions(*order)
+    return map_rows(ordered, run, "conv_id long, cost long, audit string, repaired_sha256 string")
+
+
+CRC_TABLE = """crc(i, c, k) AS (SELECT i, i, 0 FROM (SELECT unnest(range(256)) AS i)
+        UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, k + 1 FROM crc WHERE k < 8),
+    crc_table AS (SELECT list(c ORDER BY i) AS t FROM crc WHERE k = 8)"""
+
+
+@query(
+    rf"""
+    WITH RECURSIVE {CRC_TABLE},
+    keyed AS (
+        SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+            coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations
+    ), hit AS (
+        SELECT keyed.*, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(k, ''), lambda x: ascii(x)::BIGINT)),
+            lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) % 20 AS d FROM keyed, crc_table
+    ), bad AS (
+        SELECT conv_id, turn, CASE d WHEN 4 THEN 'user' ELSE role END AS role,
+            CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE d WHEN 3 THEN 2 ELSE 1 END)) AS copy
+        FROM hit WHERE d <> 0
+    ), placed AS (
+        SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(role || chr(10) || text)) AS i FROM bad
+    ), faulty AS (
+        SELECT *, role[1] AS c, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'b'
+            WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+            WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 't' ELSE '' END AS f,
+            coalesce(lag(role[1]) OVER w || role[1] NOT IN ('su', 'ua', 'au'), false) AS odd
+        FROM placed WINDOW w AS (PARTITION BY conv_id ORDER BY i)
+    ), counts AS (
+        SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (f = 'b') AS blank,
+            count(*) FILTER (f = 'd') AS duplicate, count(*) FILTER (f = 't') AS truncated, count(*) FILTER (odd) AS illegal, count(*) AS n
+        FROM faulty GROUP BY conv_id
+    ), dp(conv_id, i, q0, qs, qu, qa) AS (
+        SELECT DISTINCT conv_id, 0::BIGINT, {{'c': 0, 'a': '', 'o': []::VARCHAR[]}}, {{'c': 99999999, 'a': '', 'o': []::VARCHAR[]}},
+            {{'c': 99999999, 'a': '', 'o': []::VARCHAR[]}}, {{'c': 99999999, 'a': '', 'o': []::VARCHAR[]}} FROM counts
+        UNION ALL
+        SELECT conv_id, i,
+            {{'c': e0.c + 3, 'a': e0.a || 'D', 'o': e0.o}},
+            least({{'c': es.c + 3, 'a': es.a || 'D', 'o': es.o}}, CASE WHEN keep AND c = 's' THEN {{'c': e0.c + more, 'a': e0.a || 'K', 'o': list_append(e0.o, said)}} ELSE far END),
+            least({{'c': eu.c + 3, 'a': eu.a || 'D', 'o': eu.o}},
+                CASE WHEN keep AND c = 'u' THEN {{'c': x.c + more, 'a': x.a || 'K', 'o': list_append(x.o, said)}} ELSE far END,
+                CASE WHEN keep THEN {{'c': y.c + more + 2, 'a': y.a || 'R', 'o': list_append(y.o, 'user:' || text)}} ELSE far END),
+            least({{'c': ea.c + 3, 'a': ea.a || 'D', 'o': ea.o}},
+                CASE WHEN keep AND c = 'a' THEN {{'c': eu.c + more, 'a': eu.a || 'K', 'o': list_append(eu.o, said)}} ELSE far END,
+                CASE WHEN keep THEN {{'c': eu.c + more + 2, 'a': eu.a || 'R', 'o': list_append(eu.o, 'assistant:' || text)}} ELSE far END)
+        FROM (SELECT *, least(e0, es, ea) AS x, least(e0, es, ea) AS y FROM (
+            SELECT *, least(qa, {{'c': eu.c + 2, 'a': eu.a || 'I', 'o': list_append(eu.o, 'assistant:')}}) AS ea FROM (
+                SELECT dp.conv_id, faulty.i, q0 AS e0, qs AS es, qa, least(qu, {{'c': q0.c + 2, 'a': q0.a || 'I', 'o': list_append(q0.o, 'user:')}},
+                    {{'c': qs.c + 2, 'a': qs.a || 'I', 'o': list_append(qs.o, 'user:')}}, {{'c': qa.c + 2, 'a': qa.a || 'I', 'o': list_append(qa.o, 'user:')}}) AS eu,
+                    f NOT IN ('b', 'd') AS keep, faulty.c, CASE f WHEN 't' THEN 1 ELSE 0 END AS more, text, role || ':' || text AS said,
+                    {{'c': 99999999, 'a': '', 'o': []::VARCHAR[]}} AS far
+                FROM dp JOIN faulty ON faulty.conv_id IS NOT DISTINCT FROM dp.conv_id AND faulty.i = dp.i + 1)))
+    ), closed AS (
+        SELECT conv_id, least(q0, qa, {{'c': qu.c + 2, 'a': qu.a || 'I', 'o': list_append(qu.o, 'assistant:')}},
+            {{'c': qs.c + 4, 'a': qs.a || 'II', 'o': list_append(list_append(qs.o, 'user:'), 'assistant:')}}) AS b
+        FROM dp JOIN counts USING (conv_id) WHERE dp.i = counts.n
+    )
+    SELECT given.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+        coalesce(illegal, 0) AS illegal, CAST(coalesce(b.c, 0) AS BIGINT) AS cost, coalesce(b.a, '') AS audit, sha256(coalesce(array_to_string(b.o, chr(10)), '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) given LEFT JOIN counts USING (conv_id) LEFT JOIN closed USING (conv_id)
+    """
+)
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation after :func:`damaged`."""
+    given = table(spark, sf_dir, "conversations")
+    fixed = conversation_repair.repair(damaged(given))
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal")
+    faults = fixed.faults.select(F.col("conv_id").alias("_f"), *counts)
+    digests = repaired_digests(fixed.steps).withColumnRenamed("conv_id", "_d")
+    every = given.select("conv_id").distinct()
+    every = every.join(faults, F.col("conv_id").eqNullSafe(F.col("_f")), "left").join(digests, F.col("conv_id").eqNullSafe(F.col("_d")), "left")
+    empty = hashlib.sha256().hexdigest()
+    return every.select(
+        "conv_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in (*counts, "cost")],
+        F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.lit(empty)).alias("repaired_sha256"),
+    )
