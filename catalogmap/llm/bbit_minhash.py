@@ -13,8 +13,9 @@ Work is spent where components are still apart:
 * equal texts collapse first;
 * each document of a band's bucket meets the bucket's leader, one row per document;
 * buckets whose documents then lie in several components are completed: what is not in the bucket's largest
-  component meets everything in the bucket, block by block. First signatures only, to drop documents without a candidate
-  in another component; then whole sets, and a task returns a spanning forest of the links, never the pairs.
+  component meets everything in the bucket, block by block, by signatures alone. Components with a candidate pair between
+  them form a family; its documents that have such a candidate meet once more in the same way with their whole sets,
+  and a task returns a spanning forest of the links, never the pairs.
 
 So a group of copies of any size costs one pass, unless its members are alike without being similar enough.
 """
@@ -39,6 +40,8 @@ LANES = SLOTS * BITS // 64
 DEVIATIONS = 6.0
 #: Shingles turned into minima at once, and rows of a block in a bucket.
 STEP, BLOCK_ROWS = 2048, 1024
+#: Texts whose sets are needed are picked by a broadcast of their keys up to so many (some 24 bytes each).
+SENT_KEYS = 1 << 20
 
 _rng = np.random.default_rng(13)
 _FACTORS = _rng.integers(0, 1 << 63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -124,47 +127,42 @@ def _equal_slots_of(a: str, b: str) -> Column:
     return total
 
 
-def _text_key() -> Column:
-    """128 bits of the whole text."""
-    return F.concat(F.hex(F.xxhash64("text")), F.lit("-"), F.hex(F.xxhash64(F.lit(1), "text")))
-
-
 def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, h, g, text): h and g are 128 bits of the whole text."""
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return named.select("doc_id", _text_key().alias("key"), "text")
+    return named.select("doc_id", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g"), F.col("text").cast("binary").alias("text"))
 
 
 _LANE_NAMES = [f"l{i}" for i in range(LANES)]
 
 
 def signatures(docs: DataFrame, width: int = 4) -> DataFrame:
-    """(doc_id, key, n_shingles, sig, bands) of every row of ``docs``; sig and bands are null for an empty set."""
+    """(doc_id, h, g, n_shingles, sig, bands) of every row of ``docs``; sig and bands are null for an empty set."""
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for doc_id, key, text in rows:
+        for doc_id, h, g, text in rows:
             shingles = shingle_set(text, width)
             if not len(shingles):
-                yield doc_id, key, 0, None, None
+                yield doc_id, h, g, 0, None, None
                 continue
             least = minima(shingles)
             lanes = packed(least).view(np.int64).tolist()
-            yield doc_id, key, len(shingles), dict(zip(_LANE_NAMES, lanes, strict=True)), band_keys(least).view(np.int64).tolist()
+            yield doc_id, h, g, len(shingles), dict(zip(_LANE_NAMES, lanes, strict=True)), band_keys(least).view(np.int64).tolist()
 
     lanes = ",".join(f"{name}:bigint" for name in _LANE_NAMES)
-    as_bytes = _keyed(docs).withColumn("text", F.col("text").cast("binary"))
-    return map_rows(as_bytes, run, f"doc_id long, key string, n_shingles long, sig struct<{lanes}>, bands array<bigint>")
+    return map_rows(_keyed(docs), run, f"doc_id long, h long, g long, n_shingles long, sig struct<{lanes}>, bands array<bigint>")
 
 
-def _sets(docs: DataFrame, keys: DataFrame, width: int) -> DataFrame:
-    """(key, shingles): the whole sets of the texts with the given keys, one row each."""
+def _sets(docs: DataFrame, wanted: DataFrame, n_wanted: int, width: int) -> DataFrame:
+    """(id, shingles): the whole sets of the texts ``wanted`` (id, h, g), one row each."""
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for key, text in rows:
-            yield key, shingle_set(text, width).tobytes()
+        for number, text in rows:
+            yield number, shingle_set(text, width).tobytes()
 
-    wanted = _keyed(docs).join(keys.select("key").distinct(), "key", "left_semi")
-    texts = wanted.groupBy("key").agg(F.min("text").alias("text")).select("key", F.col("text").cast("binary").alias("text"))
-    return map_rows(texts, run, "key string, shingles binary")
+    side = F.broadcast(wanted) if n_wanted <= SENT_KEYS else wanted
+    texts = _keyed(docs).join(side, ["h", "g"]).groupBy("id").agg(F.first("text").alias("text"))
+    return map_rows(texts, run, "id long, shingles binary")
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -176,20 +174,20 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(u, v): the pairs (leader, key) whose whole sets are similar enough."""
+    """(u, v): the pairs (leader, id) whose whole sets are similar enough."""
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for leader, key, a, b in rows:
+        for leader, number, a, b in rows:
             if similar(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), percent):
-                yield leader, key
+                yield leader, number
 
-    of_key = sets.select("key", F.col("shingles").alias("b"))
-    of_leader = sets.select(F.col("key").alias("leader"), F.col("shingles").alias("a"))
-    return map_rows(pairs.join(of_key, "key").join(of_leader, "leader").select("leader", "key", "a", "b"), run, "u string, v string")
+    of_id = sets.select("id", F.col("shingles").alias("b"))
+    of_leader = fresh(sets).join(pairs.select(F.col("leader").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("leader"), F.col("shingles").alias("a"))
+    return map_rows(pairs.join(of_id, "id").join(of_leader, "leader").select("leader", "id", "a", "b"), run, "u long, v long")
 
 
 def _met(rows: DataFrame, block_rows: int) -> DataFrame:
-    """``rows`` (value, key, component, …) of unsettled buckets, dealt to the meetings (value, left, right) of their blocks.
+    """``rows`` (value, id, component, …) of unsettled buckets, dealt to the meetings (value, left, right) of their blocks.
 
     The bucket's largest component need not meet itself. The others are the rest; a meeting has at least one block of
     them. Blocks of the rest have numbers from 0 on, those of the largest component negative ones.
@@ -203,7 +201,7 @@ def _met(rows: DataFrame, block_rows: int) -> DataFrame:
         F.ceil((F.col("all") - F.col("top.n")) / block_rows).cast("int").alias("rest"),
     )
     placed = rows.join(cut(blocks), "value").withColumn("inside", F.col("component") == F.col("largest"))
-    number = F.pmod(F.xxhash64("key"), F.when(F.col("inside"), F.col("mass")).otherwise(F.col("rest"))).cast("int")
+    number = F.pmod(F.xxhash64("id"), F.when(F.col("inside"), F.col("mass")).otherwise(F.col("rest"))).cast("int")
     placed = placed.withColumn("block", F.when(F.col("inside"), -1 - number).otherwise(number))
     others = F.when(F.col("inside"), F.sequence(F.lit(0), F.col("rest") - 1)).otherwise(F.sequence(-F.col("mass"), F.col("rest") - 1))
     met = placed.withColumn("other", F.explode(others))
@@ -237,50 +235,76 @@ def _sides(group: list[tuple], lanes: list[np.ndarray], part: np.ndarray) -> Ite
             yield row, left, counts
 
 
-def _completed(rows: DataFrame, docs: DataFrame, width: int, percent: int, block_rows: int) -> DataFrame:
-    """(u, v): links between documents of one bucket (value, key, component, sig) that lie in different components."""
-    enough = least_equal(percent / 100)
+def _find(root: list[int], x: int) -> int:
+    while root[x] != x:
+        root[x] = root[root[x]]
+        x = root[x]
+    return x
+
+
+#: What a meeting reads: its key, then the document.
+_MEETING = ["value", "left", "right", "block", "id", "component", "sig"]
 
-    def numbered(group: list[tuple]) -> np.ndarray:
-        return np.unique([r[5] for r in group], return_inverse=True)[1]
+
+def _families(rows: DataFrame, percent: int, block_rows: int) -> DataFrame:
+    """(value, id, component, sig): the documents of ``rows`` with a candidate in another component of a bucket; value is now their family."""
+    enough = least_equal(percent / 100)
 
     def hopeful(found: Iterator[tuple]) -> Iterator[tuple]:
         for group in _groups(found):
-            seen: set[int] = set()
-            for row, left, counts in _sides(group, [list(r[6].values()) for r in group], numbered(group)):
+            names, part = np.unique([r[5] for r in group], return_inverse=True)
+            root, seen = list(range(len(names))), set()
+            for row, left, counts in _sides(group, [list(r[6].values()) for r in group], part):
                 close = left[counts >= enough]
                 if len(close):
                     seen.add(row)
                     seen.update(close.tolist())
+                    for other in np.unique(part[close]).tolist():
+                        root[_find(root, other)] = _find(root, int(part[row]))
             for row in seen:
-                yield group[row][0], group[row][4]
+                yield group[row][4], int(names[part[row]]), int(names[_find(root, int(part[row]))])
+
+    met = map_rows(_met(rows, block_rows).select(*_MEETING), hopeful, "id long, component long, root long").distinct()
+    met = cut(met)
+    family = connected_components(met.select(F.col("component").alias("u"), F.col("root").alias("v")).distinct(), met.select(F.col("component").alias("id")))
+    family = family.select(F.col("id").alias("component"), F.col("component").alias("value"))
+    return met.select("id", "component").distinct().join(family, "component").join(rows.select("id", "sig").dropDuplicates(["id"]), "id").select("value", "id", "component", "sig")
+
+
+def _completed(rows: DataFrame, sets: DataFrame, percent: int, block_rows: int) -> DataFrame:
+    """(u, v): links between documents of a family (value, id, component, sig) that lie in different components."""
+    enough = least_equal(percent / 100)
 
     def linked(found: Iterator[tuple]) -> Iterator[tuple]:
         for group in _groups(found):
-            part = numbered(group)
+            part = np.unique([r[5] for r in group], return_inverse=True)[1]
             root = list(range(int(part.max()) + 1))
-
-            def find(x: int, root=root) -> int:
-                while root[x] != x:
-                    root[x] = root[root[x]]
-                    x = root[x]
-                return x
-
-            sets = [np.frombuffer(r[7], np.uint64) for r in group]
+            held = [np.frombuffer(r[7], np.uint64) for r in group]
             for row, left, counts in _sides(group, [list(r[6].values()) for r in group], part):
                 near = np.flatnonzero(counts >= enough)
                 for at in near[np.argsort(-counts[near], kind="stable")].tolist():
                     other = int(left[at])
-                    x, y = find(int(part[row])), find(int(part[other]))
-                    if x != y and similar(sets[row], sets[other], percent):
+                    x, y = _find(root, int(part[row])), _find(root, int(part[other]))
+                    if x != y and similar(held[row], held[other], percent):
                         root[x] = y
                         yield group[row][4], group[other][4]
 
-    names = ["value", "left", "right", "block", "key", "component", "sig"]
-    some = cut(map_rows(_met(rows, block_rows).select(*names), hopeful, "value long, key string").distinct())
-    few = cut(rows.join(some, ["value", "key"], "left_semi"))
-    sets = cut(_sets(docs, few, width))
-    return map_rows(_met(few.join(sets, "key"), block_rows).select(*names, "shingles"), linked, "u string, v string")
+    with_sets = _met(rows.join(sets, "id"), block_rows).select(*_MEETING, "shingles")
+    return map_rows(with_sets, linked, "u long, v long")
+
+
+def _links(docs: DataFrame, texts: DataFrame, rows: DataFrame, width: int, percent: int, block_rows: int) -> DataFrame:
+    """(u, v): links that connect all similar texts; ``rows`` (value, id, sig) are the buckets with several texts."""
+    lead = F.min(F.struct(F.xxhash64("id").alias("h"), "id", "sig")).alias("lead")
+    # the same text leads most buckets of a group, so a group's documents have few distinct leaders
+    star = rows.join(rows.groupBy("value").agg(lead), "value").where(F.col("id") != F.col("lead.id"))
+    star = star.withColumn("equal", _equal_slots_of("sig", "lead.sig")).where(F.col("equal") >= least_equal(percent / 100))
+    pairs = cut(star.select("id", F.col("lead.id").alias("leader")).distinct())
+    wanted, n_wanted = cut_counted(texts.select("id", "h", "g").join(rows.select("id").distinct(), "id"))
+    sets = cut(_sets(docs, wanted, n_wanted, width))
+    links = cut(_confirmed(pairs, sets, percent))
+    families = cut(_families(cut(_with_parts(rows, links)), percent, block_rows))
+    return links.unionByName(cut(_completed(families, sets, percent, block_rows)))
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -296,39 +320,24 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, block_ro
     if not 1 <= percent <= 100:
         raise ValueError("percent must lie in 1..100")
     marked = cut(signatures(docs, width))
-    texts = cut(marked.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
-    banded = texts.select("key", F.explode("bands").alias("value"))
+    texts = marked.where("n_shingles > 0").groupBy("h", "g").agg(F.min("doc_id").alias("least"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    texts = cut(texts.withColumn("id", F.monotonically_increasing_id()))
+    banded = texts.select("id", F.explode("bands").alias("value"))
     shared = banded.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("value")
-    rows = cut(banded.join(shared, "value").join(texts.select("key", "sig"), "key"))
-    lead = F.min(F.struct(F.xxhash64("key").alias("h"), "key", "sig")).alias("lead")
-    # the same text leads most buckets of a group, so a group's documents have few distinct leaders
-    star = rows.join(rows.groupBy("value").agg(lead), "value").where(F.col("key") != F.col("lead.key"))
-    star = star.select("key", F.col("lead.key").alias("leader"), "sig", F.col("lead.sig").alias("lead_sig")).dropDuplicates(["key", "leader"])
-    equal = star.withColumn("equal", _equal_slots_of("sig", "lead_sig")).where(F.col("equal") >= least_equal(percent / 100))
-    pairs, n_pairs = cut_counted(equal.select("key", "leader"))
-    links = None
-    if n_pairs:
-        sets = cut(_sets(docs, pairs.select("key").union(pairs.select("leader")), width))
-        links = cut(_confirmed(pairs, sets, percent))
-    apart = cut(_with_parts(rows, links))
-    more, n_more = cut_counted(_completed(apart, docs, width, percent, block_rows))
-    if n_more:
-        links = more if links is None else links.unionByName(more)
-    if links is None:
-        classes = texts.select("key", F.col("least").alias("component_id"))
-    else:
-        parts = cut(_with_parts(texts.select("key", "least"), links))
-        smallest = parts.groupBy("component").agg(F.min("least").alias("component_id"))
-        classes = parts.join(smallest, "component").select("key", "component_id")
-    found = marked.where("n_shingles > 0").select("doc_id", "key", "n_shingles").join(classes, "key")
+    rows, n_rows = cut_counted(banded.join(shared, "value").join(texts.select("id", "sig"), "id"))
+    links = _links(docs, texts, rows, width, percent, block_rows) if n_rows else None
+    parts = cut(_with_parts(texts.select("id", "h", "g", "least"), links))
+    smallest = parts.groupBy("component").agg(F.min("least").alias("component_id"))
+    classes = parts.join(smallest, "component").select("h", "g", "component_id")
+    found = marked.where("n_shingles > 0").select("doc_id", "h", "g", "n_shingles").join(classes, ["h", "g"])
     lone = marked.where("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
     out = [c.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")) for c in (found, lone)]
     return out[0].unionByName(out[1])
 
 
 def _with_parts(rows: DataFrame, links: DataFrame | None) -> DataFrame:
-    """``rows`` with component: a name of the key's component under ``links``, the key itself without any."""
+    """``rows`` with component: a name of the id's component under ``links``, the id itself without any."""
     if links is None:
-        return rows.withColumn("component", F.col("key"))
-    parts = connected_components(links).select(F.col("id").alias("key"), F.col("component").alias("_part"))
-    return rows.join(fresh(parts), "key", "left").withColumn("component", F.coalesce("_part", "key")).drop("_part")
+        return rows.withColumn("component", F.col("id"))
+    parts = connected_components(links).select("id", F.col("component").alias("_part"))
+    return rows.join(fresh(parts), "id", "left").withColumn("component", F.coalesce("_part", "id")).drop("_part")
