@@ -11,7 +11,8 @@ With bands of four rows a pair at similarity 0.8 shares none of 32 bands with a
 Work is spent where components are still apart:
 
 * equal texts collapse first;
-* each document of a band's bucket meets the bucket's leader, one row per document;
+* each document of a band's bucket meets the bucket's leader, one row per document; a document takes the name of a leader
+  that it links to, and that of its leader's leader, which stands for its component so far;
 * buckets whose documents then lie in several components are completed: what is not in the bucket's largest
   component meets everything in the bucket, block by block, by signatures alone. Components with a candidate pair between
   them form a family; its documents that have such a candidate meet once more in the same way with their whole sets,
@@ -186,7 +187,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_rows(pairs.join(of_id, "id").join(of_leader, "leader").select("leader", "id", "a", "b"), run, "u long, v long")
 
 
-def _met(rows: DataFrame, block_rows: int) -> DataFrame:
+def _met(rows: DataFrame, block_rows: int, sets: DataFrame | None = None) -> DataFrame:
     """``rows`` (value, id, component, …) of unsettled buckets, dealt to the meetings (value, left, right) of their blocks.
 
     The bucket's largest component need not meet itself. The others are the rest; a meeting has at least one block of
@@ -200,13 +201,17 @@ def _met(rows: DataFrame, block_rows: int) -> DataFrame:
         F.ceil(F.col("top.n") / block_rows).cast("int").alias("mass"),
         F.ceil((F.col("all") - F.col("top.n")) / block_rows).cast("int").alias("rest"),
     )
-    placed = rows.join(cut(blocks), "value").withColumn("inside", F.col("component") == F.col("largest"))
+    placed = rows.join(cut(blocks), "value")
+    if sets is not None:
+        placed = placed.join(sets, "id")
+    names = [*rows.columns, *([c for c in sets.columns if c != "id"] if sets is not None else [])]
+    placed = placed.withColumn("inside", F.col("component") == F.col("largest"))
     number = F.pmod(F.xxhash64("id"), F.when(F.col("inside"), F.col("mass")).otherwise(F.col("rest"))).cast("int")
     placed = placed.withColumn("block", F.when(F.col("inside"), -1 - number).otherwise(number))
     others = F.when(F.col("inside"), F.sequence(F.lit(0), F.col("rest") - 1)).otherwise(F.sequence(-F.col("mass"), F.col("rest") - 1))
     met = placed.withColumn("other", F.explode(others))
     keys = ["value", "left", "right"]
-    met = met.select("value", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", *[c for c in rows.columns if c != "value"])
+    met = met.select("value", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", *[c for c in names if c != "value"])
     return met.repartition(*keys).sortWithinPartitions(*keys, "block")
 
 
@@ -266,19 +271,20 @@ def _families(rows: DataFrame, percent: int, block_rows: int) -> DataFrame:
 
     met = map_rows(_met(rows, block_rows).select(*_MEETING), hopeful, "id long, component long, root long").distinct()
     met = cut(met)
-    family = connected_components(met.select(F.col("component").alias("u"), F.col("root").alias("v")).distinct(), met.select(F.col("component").alias("id")))
+    # every component here has a partner, so it is an end of an edge
+    family = connected_components(met.select(F.col("component").alias("u"), F.col("root").alias("v")))
     family = family.select(F.col("id").alias("component"), F.col("component").alias("value"))
     return met.select("id", "component").distinct().join(family, "component").join(rows.select("id", "sig").dropDuplicates(["id"]), "id").select("value", "id", "component", "sig")
 
 
 def _completed(rows: DataFrame, sets: DataFrame, percent: int, block_rows: int) -> DataFrame:
-    """(u, v): links between documents of a family (value, id, component, sig) that lie in different components."""
+    """(u, v): components of a family (value, id, component, sig) with a link between them, one row per component and meeting."""
     enough = least_equal(percent / 100)
 
     def linked(found: Iterator[tuple]) -> Iterator[tuple]:
         for group in _groups(found):
-            part = np.unique([r[5] for r in group], return_inverse=True)[1]
-            root = list(range(int(part.max()) + 1))
+            names, part = np.unique([r[5] for r in group], return_inverse=True)
+            root = list(range(len(names)))
             held = [np.frombuffer(r[7], np.uint64) for r in group]
             for row, left, counts in _sides(group, [list(r[6].values()) for r in group], part):
                 near = np.flatnonzero(counts >= enough)
@@ -287,14 +293,16 @@ def _completed(rows: DataFrame, sets: DataFrame, percent: int, block_rows: int)
                     x, y = _find(root, int(part[row])), _find(root, int(part[other]))
                     if x != y and similar(held[row], held[other], percent):
                         root[x] = y
-                        yield group[row][4], group[other][4]
+            for i in range(len(names)):
+                if (top := _find(root, i)) != i:
+                    yield int(names[i]), int(names[top])
 
-    with_sets = _met(rows.join(sets, "id"), block_rows).select(*_MEETING, "shingles")
+    with_sets = _met(rows, block_rows, sets).select(*_MEETING, "shingles")
     return map_rows(with_sets, linked, "u long, v long")
 
 
-def _links(docs: DataFrame, texts: DataFrame, rows: DataFrame, width: int, percent: int, block_rows: int) -> DataFrame:
-    """(u, v): links that connect all similar texts; ``rows`` (value, id, sig) are the buckets with several texts."""
+def _components(docs: DataFrame, texts: DataFrame, rows: DataFrame, width: int, percent: int, block_rows: int) -> DataFrame:
+    """(id, component) of the texts with a link; ``rows`` (value, id, sig) are the buckets with several texts."""
     lead = F.min(F.struct(F.xxhash64("id").alias("h"), "id", "sig")).alias("lead")
     # the same text leads most buckets of a group, so a group's documents have few distinct leaders
     star = rows.join(rows.groupBy("value").agg(lead), "value").where(F.col("id") != F.col("lead.id"))
@@ -302,9 +310,15 @@ def _links(docs: DataFrame, texts: DataFrame, rows: DataFrame, width: int, perce
     pairs = cut(star.select("id", F.col("lead.id").alias("leader")).distinct())
     wanted, n_wanted = cut_counted(texts.select("id", "h", "g").join(rows.select("id").distinct(), "id"))
     sets = cut(_sets(docs, wanted, n_wanted, width))
-    links = cut(_confirmed(pairs, sets, percent))
-    families = cut(_families(cut(_with_parts(rows, links)), percent, block_rows))
-    return links.unionByName(cut(_completed(families, sets, percent, block_rows)))
+    led = cut(_led(cut(_confirmed(pairs, sets, percent))))
+    named = rows.join(led, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    families = cut(_families(cut(named), percent, block_rows))
+    # a link between components is a candidate within a family, so these edges are all that is missing
+    joined = connected_components(_completed(families, sets, percent, block_rows))
+    joined = cut(joined.select(F.col("id").alias("component"), F.col("component").alias("top")))
+    # a leader that follows nobody stands for itself
+    named = led.unionByName(fresh(joined).select(F.col("component").alias("id"), F.col("component")).join(led, "id", "left_anti"))
+    return named.join(joined, "component", "left").select("id", F.coalesce("top", "component").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -325,8 +339,12 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, block_ro
     banded = texts.select("id", F.explode("bands").alias("value"))
     shared = banded.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("value")
     rows, n_rows = cut_counted(banded.join(shared, "value").join(texts.select("id", "sig"), "id"))
-    links = _links(docs, texts, rows, width, percent, block_rows) if n_rows else None
-    parts = cut(_with_parts(texts.select("id", "h", "g", "least"), links))
+    parts = texts.select("id", "h", "g", "least")
+    if n_rows:
+        parts = parts.join(_components(docs, texts, rows, width, percent, block_rows), "id", "left")
+        parts = cut(parts.withColumn("component", F.coalesce("component", "id")))
+    else:
+        parts = parts.withColumn("component", F.col("id"))
     smallest = parts.groupBy("component").agg(F.min("least").alias("component_id"))
     classes = parts.join(smallest, "component").select("h", "g", "component_id")
     found = marked.where("n_shingles > 0").select("doc_id", "h", "g", "n_shingles").join(classes, ["h", "g"])
@@ -335,9 +353,8 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, block_ro
     return out[0].unionByName(out[1])
 
 
-def _with_parts(rows: DataFrame, links: DataFrame | None) -> DataFrame:
-    """``rows`` with component: a name of the id's component under ``links``, the id itself without any."""
-    if links is None:
-        return rows.withColumn("component", F.col("id"))
-    parts = connected_components(links).select("id", F.col("component").alias("_part"))
-    return rows.join(fresh(parts), "id", "left").withColumn("component", F.coalesce("_part", "id")).drop("_part")
+def _led(links: DataFrame) -> DataFrame:
+    """(id, component): the leader's leader or the leader of every id that has one, over confirmed links (u leads v)."""
+    up = cut(links.groupBy(F.col("v").alias("id")).agg(F.min("u").alias("up")))
+    above = up.select(F.col("id").alias("up"), F.col("up").alias("top"))
+    return up.join(fresh(above), "up", "left").select("id", F.coalesce("top", "up").alias("component"))
