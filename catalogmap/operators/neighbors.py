@@ -1,9 +1,9 @@
 """Exact k-nearest-neighbour joins by blocks and distance bounds.
 
-Every vector is put into the cell of its nearest pivot and every cell is split into blocks of a
-bounded number of rows. A query first searches one block of its own cell; the k-th distance found
-there bounds the rest of the search: by the triangle inequality it is sent only to the cells that
-can still hold a nearer vector. Block pairs meet through an equi-join on the block key, and a task
+Every vector is put into the cell of its nearest pivot and large cells are split by pivots of their
+own into compact blocks (see :mod:`balls`). The k-th distances inside a block bound the rest of its
+search: by the triangle inequality it meets only the blocks whose balls can still hold a nearer vector.
+Pairs of blocks are chosen by their balls alone; rows move by an equi-join on the block, and a task
 returns k rows per query, never the pairs it looked at. Equal vectors are searched once, so a table
 in which a third of the rows are copies does not fill one block with ties.
 """
@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from catalogmap.operators import balls
 from catalogmap.operators.ranking import sample_exact, top_k_per_group
 from catalogmap.session import cut, fresh, salt_of
 
@@ -127,43 +128,6 @@ def split_cells(assigned: DataFrame, block_rows: int) -> tuple[DataFrame, pd.Dat
     return rows.select("id", "vec", "cell", "r", "sub"), bounds
 
 
-def _search(asked: DataFrame, blocks: DataFrame, k: int, id_type: str, skip_self: bool) -> DataFrame:
-    """Top-k of every routed query inside its target block: (id, near, dist).
-
-    ``asked`` is (id, vec, chunk, tcell, tsub); every (chunk, target) pair is one bounded task group.
-    """
-    targets = fresh(asked.select("chunk", "tcell", "tsub").distinct())
-    blocks = fresh(blocks)
-    hit = blocks.join(
-        targets, (blocks["cell"] == targets["tcell"]) & (blocks["sub"] == targets["tsub"])
-    ).select("id", "vec", "chunk", "tcell", "tsub")
-
-    def best(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(p):
-            return pd.DataFrame({"id": [], "near": [], "dist": []})
-        p = p.sort_values("id", kind="stable")
-        a, b = stack(q["vec"]), stack(p["vec"])
-        d = distances(a, b)
-        ids, near = q["id"].to_numpy(), p["id"].to_numpy()
-        if skip_self:
-            d[ids[:, None] == near[None, :]] = np.inf
-        kk = min(k, len(near))
-        # keep everything at the k-th distance or below, so that ties are settled by id later
-        limit = np.partition(d, kk - 1, axis=1)[:, kk - 1]
-        rows, cols = np.nonzero((d <= limit[:, None] + _SLACK) & np.isfinite(d))
-        exact = np.sqrt(((a[rows] - b[cols]) ** 2).sum(1)).round(9)
-        order = np.lexsort((cols, exact, rows))
-        rows, cols, exact = rows[order], cols[order], exact[order]
-        start = np.searchsorted(rows, np.arange(len(ids)))
-        keep = np.arange(len(rows)) - start[rows] < k
-        return pd.DataFrame({"id": ids[rows[keep]], "near": near[cols[keep]], "dist": exact[keep]})
-
-    key = ["chunk", "tcell", "tsub"]
-    return asked.groupBy(*key).cogroup(hit.groupBy(*key)).applyInPandas(
-        best, f"id {id_type}, near {id_type}, dist double"
-    )
-
-
 def knn_join(
     queries: DataFrame,
     points: DataFrame,
@@ -199,38 +163,20 @@ def knn_join(
 
 
 def _distinct_knn(q: DataFrame, p: DataFrame, k: int, block_rows: int) -> DataFrame:
-    id_type = p.schema["id"].dataType.simpleString()
     n = p.count()
     if n == 0:
+        id_type = p.schema["id"].dataType.simpleString()
         return p.sparkSession.createDataFrame([], f"id {id_type}, near {id_type}, dist double")
-    pivots = pick_pivots(p, n, block_rows)
-    blocks, bounds = split_cells(cut(assign_cells(p, pivots)), block_rows)
-    blocks = cut(blocks)
-    asked = blocks.select("id", "vec", "cell", "r", "sub") if q is p else None
-    if asked is None:
-        asked = cut(split_cells(cut(assign_cells(q, pivots)), block_rows)[0])
-    asked = asked.withColumn("chunk", F.concat_ws("-", "cell", "sub"))
-
-    subs_of = bounds.set_index("cell")["subs"]
-    if len(bounds) == 1 and subs_of.iloc[0] == 1:  # one block holds everything
-        only = int(bounds["cell"].iloc[0])
-        one = asked.withColumn("tcell", F.lit(only)).withColumn("tsub", F.lit(0))
-        return _search(one.select("id", "vec", "chunk", "tcell", "tsub"), blocks, k, id_type, q is p)
-
-    subs = p.sparkSession.createDataFrame(bounds[["cell", "subs"]], "tcell int, subs bigint")
-    # a query cell without points is sent nowhere first and searches everywhere its bounds allow
-    home = asked.join(F.broadcast(subs), asked["cell"] == subs["tcell"], "left").withColumn(
-        "tsub", F.pmod(F.col("sub"), F.coalesce(F.col("subs"), F.lit(1))).cast("int")
-    )
-    at_home = home.where(F.col("tcell").isNotNull()).select("id", "vec", "chunk", "tcell", "tsub")
-    first = cut(_search(at_home, blocks, k, id_type, q is p))
-    reach = first.groupBy("id").agg(F.count(F.lit(1)).alias("_n"), F.max("dist").alias("_d"))
-    bounded = home.join(reach, "id", "left").withColumn(
-        "reach", F.when(F.col("_n") >= k, F.col("_d")).otherwise(F.lit(float("inf")))
-    )
-    spread = _route(bounded.select("id", "vec", "chunk", "cell", "reach", "tcell", "tsub"), pivots, bounds, id_type)
-    rest = _search(cut(spread), blocks, k, id_type, q is p)
-    return first.unionByName(rest)
+    pivots = pick_pivots(p, n, max(1, block_rows // 2))
+    assigned = cut(assign_cells(p, pivots))
+    cells = balls.first_cells(assigned, pivots)
+    points = balls.nested_blocks(assigned, block_rows)
+    of_points = balls.balls(points, cells, k, q is p)
+    if q is p:
+        return balls.search_pairs(points, points, balls.block_pairs(of_points, of_points, cells), k, True)
+    asked = balls.nested_blocks(cut(assign_cells(q, pivots)), block_rows)
+    of_asked = balls.balls(asked, cells, k, False)
+    return balls.search_pairs(asked, points, balls.block_pairs(of_asked, of_points, cells), k, False)
 
 
 def _route(asked: DataFrame, pivots: np.ndarray, bounds: pd.DataFrame, id_type: str) -> DataFrame:

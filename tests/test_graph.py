@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute
-from catalogmap.operators import density, graph, merging, metrics, neighbors, reduce, tuning
+from catalogmap.operators import balls, density, graph, merging, metrics, neighbors, reduce, tuning
 from catalogmap.session import cut
 
 
@@ -225,3 +225,36 @@ def test_rescue_with_text_ids_and_nothing_to_do(spark):
     more = vectors.unionByName(spark.createDataFrame([("c", [0.2])], vectors.schema))
     got = merging.rescue_noise(clusters.unionByName(noise), more, chunk_rows=1).where("book_id = 'c'").first()
     assert got["cluster_id"] == 0
+
+
+def test_most_block_pairs_of_clustered_vectors_are_skipped(spark, monkeypatch):
+    """Rows that move grow with N · partners: a block meets about as many partners whatever the number of clusters."""
+    kept = []
+    chosen = balls.tightened
+
+    def seen(*args):
+        out = chosen(*args)
+        kept.append((out.select("i").distinct().count(), out.count()))
+        return out
+
+    monkeypatch.setattr(balls, "tightened", seen)
+    rng = np.random.default_rng(8)
+    for clusters in (40, 80):
+        x = np.repeat(rng.normal(size=(clusters, 6)) * 30, 25, axis=0) + rng.normal(size=(clusters * 25, 6))
+        got = as_lists(neighbors.knn(frame(spark, x), 5, "euclidean", 25))
+        assert got == brute.nearest(brute.distance_matrix(x), 5)
+    for blocks, pairs in kept:
+        assert pairs < 8 * blocks < 0.2 * blocks * blocks
+
+
+def test_blocks_of_dense_rows_are_nested(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "MAX_PIVOTS", 3)
+    monkeypatch.setattr(balls, "SPLIT_ROWS", 40)
+    monkeypatch.setattr(balls, "PART_BLOCKS", 2)
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=(150, 3)) * 1e-3, rng.normal(size=(150, 3)), rng.normal(size=(60, 3)) + 50])
+    assert as_lists(neighbors.knn(frame(spark, x), 4, "euclidean", 16)) == brute.nearest(brute.distance_matrix(x), 4)
+    assigned = neighbors.assign_cells(frame(spark, x).selectExpr("book_id AS id", "cast(vector AS array<double>) AS vec"), x[:2])
+    blocks = balls.nested_blocks(assigned, 16)
+    assert blocks.groupBy("block").count().agg({"count": "max"}).first()[0] <= 48
+    assert blocks.select("id").distinct().count() == blocks.count() == len(x)
