@@ -11,6 +11,7 @@ tier.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable, Iterator
@@ -31,11 +32,17 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 Encode = Callable[[str], bytes]
 
 
-def byte_bpe_encoder(ranks_path: str, pattern: str) -> Callable[[], Encode]:
+#: White space other than the space and the line feed, where a word and the space before it need not be one pre-token.
+RARE_SPACES = "".join(map(chr, (9, 11, 12, 13, *range(28, 32), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+
+
+def byte_bpe_encoder(ranks_path: str, pattern: str, added: dict[str, int] | None = None) -> Callable[[], Encode]:
     """Makes an encoder of a byte-level BPE: text → its ids as little-endian unsigned 32-bit values.
 
-    A single space after a non-space always begins a new pre-token, so a text without two spaces in a
-    row is encoded chunk by chunk, and chunks come from a cache. Special tokens in a text are text.
+    ``added`` tokens are looked for in the text first, the leftmost and then the longest one; what lies between them is
+    encoded piece by piece. A single space between two characters that are not white space always begins a new
+    pre-token, so a piece is cut there, and the parts come from a cache.
     """
 
     def make() -> Encode:
@@ -46,6 +53,8 @@ def byte_bpe_encoder(ranks_path: str, pattern: str) -> Callable[[], Encode]:
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         encode = tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        names = sorted(added or {}, key=len, reverse=True)
+        marks = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
 
         def packed(text: str) -> bytes:
             return array.array("I", encode(text)).tobytes()
@@ -61,12 +70,17 @@ def byte_bpe_encoder(ranks_path: str, pattern: str) -> Callable[[], Encode]:
 
         chunks = Chunks()
 
-        def run(text: str) -> bytes:
-            if "  " in text:
-                return packed(text)
-            first, *rest = text.split(" ")
+        def piece(text: str) -> bytes:
+            plain = not ("  " in text or " \n" in text or "\n " in text or any(c in text for c in RARE_SPACES))
+            first, *rest = text.split(" ") if plain else _CUT.split(text)
             return chunks[first] + b"".join(map(chunks.__getitem__, [" " + r for r in rest]))
 
+        def run(text: str) -> bytes:
+            if marks is None or not any(name in text for name in names):
+                return piece(text)
+            parts = marks.split(text)  # pieces and added tokens by turns
+            return b"".join(added[t].to_bytes(4, "little") if i % 2 else piece(t) for i, t in enumerate(parts))
+
         return run
 
     return make
@@ -162,7 +176,7 @@ def pack(docs: DataFrame, encoder: Callable[[], Encode], end_id: int = 1, tiers:
     end = end_id.to_bytes(4, "little")
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
-        key = (encoder.__qualname__, *(c.cell_contents for c in encoder.__closure__ or ()))
+        key = (encoder.__qualname__, *(repr(c.cell_contents) for c in encoder.__closure__ or ()))
         if key not in _ENCODERS:  # one cache of words for all tasks of a worker
             _ENCODERS[key] = encoder()
         encode = _ENCODERS[key]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 from collections.abc import Iterator
 from itertools import groupby
@@ -32,10 +33,12 @@ def query(sql: str | None = None):
 
 
 def public_encoder():
-    """The public byte-level BPE of 50,257 ids (the ranks of byte_bpe_50k.json)."""
+    """The public byte-level BPE of 50,257 ids as byte_bpe_50k.json has it, its added tokens included."""
     import public_tokenizers
 
-    return packing.byte_bpe_encoder(str(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        added = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+    return packing.byte_bpe_encoder(str(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN, added)
 
 
 @query()
@@ -276,9 +279,11 @@ CRC_TABLE = """crc(i, c, k) AS (SELECT i, i, 0 FROM (SELECT unnest(range(256)) A
     ), placed AS (
         SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(role || chr(10) || text)) AS i FROM bad
     ), faulty AS (
-        SELECT *, role[1] AS c, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'b'
+        SELECT *, role[1] AS c, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'b'
             WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
-            WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 't' ELSE '' END AS f,
+            WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*\z') THEN 't' ELSE '' END AS f,
             coalesce(lag(role[1]) OVER w || role[1] NOT IN ('su', 'ua', 'au'), false) AS odd
         FROM placed WINDOW w AS (PARTITION BY conv_id ORDER BY i)
     ), counts AS (
