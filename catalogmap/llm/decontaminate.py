@@ -25,6 +25,8 @@ MASKS = ("111011011", "1101101011", "1110010111")
 LONGEST = max(map(len, MASKS))
 BLOOM_BITS = (1 << 20, 1 << 28)
 PROBES = 6
+#: Ranges of diagonals marked at once.
+RANGES = 1 << 20
 _MARKS = bytes(32 if i < 128 and not chr(i).isalnum() else i for i in range(256))
 
 
@@ -88,17 +90,28 @@ def _signed(hashes: np.ndarray) -> list[int]:
     return hashes.view(np.int64).tolist()
 
 
+HIT = "hashes array<long>, places array<array<int>>"
+
+
+def _placed(hashes: list[int], places: list[int]) -> tuple[list[int], list[list[int]]]:
+    """The distinct hashes and the places of each."""
+    held: dict[int, list[int]] = {}
+    for h, at in zip(hashes, places, strict=True):
+        held.setdefault(h, []).append(at)
+    return list(held), list(held.values())
+
+
 def _benchmark(items: DataFrame) -> DataFrame:
-    """(item_id, tokens, seeds): one row per item with words; seeds are (hash, pos)."""
+    """(item_id, tokens, hashes, places): one row per item with words; each seed hash once, with its places."""
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         for item_id, text in rows:
             tokens = token_hashes(text)
             seeds = [(h, i) for m in _masks_of(tokens) for i, h in enumerate(_signed(seed_hashes(tokens, m)))]
             if seeds:
-                yield item_id, _signed(tokens), [h for h, _ in seeds], [i for _, i in seeds]
+                yield item_id, _signed(tokens), *_placed([h for h, _ in seeds], [i for _, i in seeds])
 
-    return map_rows(items.select("item_id", "text").distinct(), run, "item_id long, tokens array<long>, hashes array<long>, places array<int>")
+    return map_rows(items.select("item_id", "text").distinct(), run, f"item_id long, tokens array<long>, {HIT}")
 
 
 def _bloom(seeds: DataFrame, count: int) -> Bloom:
@@ -152,6 +165,27 @@ def best_stretch(doc: np.ndarray, item: np.ndarray, diagonal: int, least_tokens:
     return lo + start, end - start, int(equal[end] - equal[start])
 
 
+def hit_diagonals(met: list[tuple[np.ndarray, np.ndarray]], doc_tokens: int, item_tokens: int) -> np.ndarray:
+    """The diagonals (place in the document less place in the item) on which a hash of both meets, in order.
+
+    ``met`` has, per hash, its places in the document and in the item. Consecutive places are taken together: a run of
+    places meets another on a whole range of diagonals, so a word repeated thousands of times is one step.
+    """
+    edges = np.zeros(doc_tokens + item_tokens + 2, np.int64)
+    for at, place in met:
+        sides = []
+        for where in (np.sort(at), np.sort(place)):
+            breaks = np.flatnonzero(np.diff(where) != 1)
+            sides.append((where[np.concatenate(([0], breaks + 1))], where[np.concatenate((breaks, [len(where) - 1]))]))
+        (first, last), (low, high) = sides
+        step = max(1, RANGES // len(low))
+        for i in range(0, len(first), step):
+            starts = (first[i : i + step, None] - high[None, :]).ravel() + item_tokens
+            ends = (last[i : i + step, None] - low[None, :]).ravel() + item_tokens + 1
+            edges += np.bincount(starts, minlength=len(edges)) - np.bincount(ends, minlength=len(edges))
+    return np.flatnonzero(np.cumsum(edges) > 0) - item_tokens
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, least_tokens: int = 13, least_share: float = 0.8) -> DataFrame:
     """(doc_id, item_id, start, length, matched, item_tokens): documents that hold a benchmark passage.
 
@@ -161,18 +195,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_tokens: int = 13,
     empty text holds nothing. Rows without doc_id are compared too and reported with a null doc_id; rows
     that repeat an id are reported once. Items with a repeated id are compared each.
     """
+    found = contaminated_texts(docs, benchmark, least_tokens, least_share)
+    best = F.max(F.struct("matched", (-F.col("start")).alias("before"), "length", "item_tokens")).alias("b")
+    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", (-F.col("b.before")).alias("start"), "b.length", "b.matched", "b.item_tokens")
+
+
+def contaminated_texts(docs: DataFrame, benchmark: DataFrame, least_tokens: int = 13, least_share: float = 0.8) -> DataFrame:
+    """:func:`contaminated` for each different text of a doc_id, with its text_key (Spark's xxhash64 of the text)."""
     items, _ = cut_counted(_benchmark(benchmark))
     items = items.withColumn("item", F.xxhash64("item_id", "tokens"))
     seeds = items.select("item", F.explode(F.arrays_zip("hashes", "places")).alias("s")).select("item", F.col("s.hashes").alias("hash"), F.col("s.places").alias("place"))
+    # a hash stands once per item, so a text that repeats it meets the item once
     seeds, count = cut_counted(seeds)
     if not count:
-        return docs.select("doc_id").limit(0).selectExpr("doc_id", "0L item_id", "0L start", "0L length", "0L matched", "0L item_tokens")
+        return docs.select("doc_id").limit(0).selectExpr("doc_id", "0L text_key", "0L item_id", "0L start", "0L length", "0L matched", "0L item_tokens")
     short = [r.n for r in items.where(F.size("tokens") < LONGEST).select(F.size("tokens").alias("n")).distinct().collect()]
     bloom = _bloom(seeds, count)
     masks = [*MASKS, *("1" * n for n in short)]
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for doc_id, text in rows:
+        for doc_id, key, text in rows:
             tokens = token_hashes(text)
             found, places = [], []
             for mask in masks:
@@ -181,27 +223,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_tokens: int = 13,
                 found += _signed(hashes[at])
                 places += at.tolist()
             if found:
-                yield doc_id, _signed(tokens), found, places
+                yield doc_id, key, _signed(tokens), *_placed(found, places)
 
-    hit = cut(map_rows(docs.select("doc_id", "text"), run, "doc_id long, tokens array<long>, hashes array<long>, places array<int>"))
-    hit = hit.withColumn("doc", F.xxhash64("doc_id", "tokens"))
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    hit = cut(map_rows(keyed, run, f"doc_id long, text_key long, tokens array<long>, {HIT}"))
+    hit = hit.withColumn("doc", F.xxhash64("doc_id", "text_key", "tokens"))
     spread = hit.select("doc", F.explode(F.arrays_zip("hashes", "places")).alias("s")).select("doc", F.col("s.hashes").alias("hash"), F.col("s.places").alias("at"))
-    diagonals = spread.join(seeds, "hash").select("doc", "item", (F.col("at") - F.col("place")).alias("diagonal"))
-    pairs = cut(diagonals.groupBy("doc", "item").agg(F.collect_set("diagonal").alias("diagonals")))
+    met = spread.join(seeds, "hash").groupBy("doc", "item").agg(F.collect_list(F.struct("at", "place")).alias("met"))
+    pairs = cut(met)  # a pair's hits: at most the places of both
 
     def verify(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for doc_id, item_id, doc, item, diagonals in rows:
+        for doc_id, key, item_id, doc, item, met in rows:
             doc, item = np.array(doc, np.int64), np.array(item, np.int64)
-            valid = [s for d in diagonals if (s := best_stretch(doc, item, d, least_tokens, least_share))]
+            hits = [(np.array(m["at"], np.int64), np.array(m["place"], np.int64)) for m in met]
+            valid = [s for d in hit_diagonals(hits, len(doc), len(item)).tolist() if (s := best_stretch(doc, item, d, least_tokens, least_share))]
             if valid:
                 start, length, matched = max(valid, key=lambda s: (s[2], -s[1], -s[0]))
-                yield doc_id, item_id, start, length, matched, len(item)
+                yield doc_id, key, item_id, start, length, matched, len(item)
 
     sides = (
-        pairs.join(hit.select("doc", "doc_id", F.col("tokens").alias("doc_tokens")).dropDuplicates(["doc"]), "doc")
+        pairs.join(hit.select("doc", "doc_id", "text_key", F.col("tokens").alias("doc_tokens")).dropDuplicates(["doc"]), "doc")
         .join(items.select("item", "item_id", F.col("tokens").alias("item_tokens")).dropDuplicates(["item"]), "item")
-        .select("doc_id", "item_id", "doc_tokens", "item_tokens", "diagonals")
+        .select("doc_id", "text_key", "item_id", "doc_tokens", "item_tokens", "met")
     )
-    found = map_rows(sides, verify, "doc_id long, item_id long, start long, length long, matched long, item_tokens long")
-    best = F.max(F.struct("matched", (-F.col("start")).alias("before"), "length", "item_tokens")).alias("b")
-    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", (-F.col("b.before")).alias("start"), "b.length", "b.matched", "b.item_tokens")
+    return map_rows(sides, verify, "doc_id long, text_key long, item_id long, start long, length long, matched long, item_tokens long")

@@ -229,6 +229,48 @@ def test_decontamination_edge_rows(spark):
     assert decontaminate.contaminated(docs.limit(0), bench).count() == 0
 
 
+def test_repetitive_texts_meet_an_item_once(spark):
+    rng = random.Random(12)
+    docs = [(1, "again " * 20_000), (2, "again and " * 4_000), (3, passage(rng, 300))]
+    bench = spark.createDataFrame([(1, "again " * 3_000), (2, "and again " * 900)], "item_id long, text string")
+    found = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert {(r.doc_id, r.item_id): (r.length, r.matched) for r in found}[1, 1] == (3000, 3000)
+    assert {(r.doc_id, r.item_id): (r.length, r.matched) for r in found}[2, 2] == (1800, 1800)
+    assert all(r.doc_id < 3 for r in found)
+
+
+def test_ranges_of_diagonals_are_those_of_all_pairs(monkeypatch):
+    rng = random.Random(3)
+    monkeypatch.setattr(decontaminate, "RANGES", 7)
+    for _ in range(200):
+        n, m = rng.randint(1, 40), rng.randint(1, 30)
+        met = [(np.array(sorted(rng.sample(range(n), rng.randint(1, n)))), np.array(sorted(rng.sample(range(m), rng.randint(1, m))))) for _ in range(3)]
+        want = sorted({int(a - p) for at, place in met for a in at for p in place})
+        assert decontaminate.hit_diagonals(met, n, m).tolist() == want
+
+
+def test_different_texts_of_one_id_are_told_apart(spark):
+    rng = random.Random(6)
+    leak, clean = passage(rng, 30), passage(rng, 60)
+    docs = spark.createDataFrame([(1, f"{clean} {leak}"), (1, clean), (None, leak), (None, clean)], "doc_id long, text string")
+    bench = spark.createDataFrame([(4, leak)], "item_id long, text string")
+    keyed = decontaminate.contaminated_texts(docs, bench).join(docs.select(F.xxhash64("text").alias("text_key"), "text"), "text_key")
+    assert {(r.doc_id, leak in r.text) for r in keyed.collect()} == {(1, True), (None, True)}
+
+
+@pytest.mark.parametrize("name", ["gone_id", "gone_key", "gone_lines", "GONE_LINES", "key", "lines", "ord", "run", "n_deleted", "runs", "_id", "_key", "_spans", "span_id", "span_key", "spans", "term"])
+def test_extra_columns_with_any_name(spark, name):
+    from catalogmap.llm import pii
+
+    rng = random.Random(2)
+    block = passage(rng, 40)
+    docs = spark.createDataFrame([(1, block, "mine"), (2, f"{block}\nmail joe@example.org", "yours")], f"doc_id long, text string, {name} string")
+    found = line_align.delete_copied_lines(docs).orderBy("doc_id").collect()
+    assert [r.n_deleted for r in found] == [0, 1] and found[1].text == "mail joe@example.org"
+    clean = pii.sanitise(docs).orderBy("doc_id").collect()
+    assert clean[1].text.endswith("mail [EMAIL]") and clean[1][name] == "yours"
+
+
 def test_spaced_seed_ignores_the_unmarked():
     tokens = decontaminate.token_hashes("a b c d e f g h i")
     other = decontaminate.token_hashes("a b c X e f Y h i")
