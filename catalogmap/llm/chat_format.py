@@ -7,7 +7,8 @@ rewrites history, which is reported instead of a mask.
 
 A template that declares it (an attribute ``context``, or the argument) is rendered in steps: so many turns
 before the one at hand stand for the history, so the work per turn is bounded. That a turn's output does
-not depend on the turn before those is tested at every step by dropping it and comparing.
+not depend on the turn before those is tested at every step by dropping it and comparing; besides, the whole
+conversation so far is rendered whenever its length has doubled and at its end, and must equal what the steps gave.
 """
 
 from __future__ import annotations
@@ -53,9 +54,6 @@ def plain_template(turns: list[Turn]) -> str:
     return "".join(f"### {escape(role).replace(':', chr(92) + ':')}: {escape(text)} {END}\n" for role, text in turns)
 
 
-#: A turn's output depends on nothing else; two turns are kept for the test at every step.
-plain_template.context = 2
-
 
 def read_role(head: str) -> str:
     """The role in what :func:`plain_template` writes before a text."""
@@ -75,7 +73,16 @@ def turn_spans(turns: Iterator[Turn], render: Render, context: int | None = None
     """
     context = getattr(render, "context", None) if context is None else context
     history: list[Turn] = []
+    every: list[Turn] = []
+    written: list[str] = []
     shorter, whole = None, ""
+
+    def compared() -> None:
+        nonlocal written
+        written = ["".join(written)]
+        if render(every) != written[0]:
+            raise RewritesHistory("the whole conversation is not what its steps gave")
+
     if context is not None and render([]):
         raise RewritesHistory("the template writes text without turns")
     for turn in turns:
@@ -91,12 +98,19 @@ def turn_spans(turns: Iterator[Turn], render: Render, context: int | None = None
         tail = len(first) - same - 1
         if first[same + 1 :] != second[same + 1 :] or piece[:same] != first[:same] or len(piece) < same + tail or piece[len(piece) - tail :] != first[same + 1 :]:
             raise RewritesHistory("a turn's frame depends on its text")
+        if context is not None:
+            every.append(turn)
+            written.append(piece)
+            if len(every) & (len(every) - 1) == 0:
+                compared()
         yield turn, piece, same, len(piece) - tail
         history.append(turn)
         if context is None:
             continue
         history = history[-context - 1 :]
         shorter = history[1:] if len(history) > context else None
+    if every:
+        compared()
 
 
 def format_conversations(rows: DataFrame, render: Render = plain_template, unescaped: Callable[[str], str] = unescape, role_of: Callable[[str], str] = read_role, loss_roles: tuple[str, ...] = ("assistant",), context: int | None = None, keep_text: bool = True) -> DataFrame:
@@ -106,8 +120,7 @@ def format_conversations(rows: DataFrame, render: Render = plain_template, unesc
     role or text is empty. Rows without conv_id form one conversation with a null id. Columns: n_turns,
     turns_sha256 (of role, newline, text, newline per turn), loss_chars and loss_sha256 (of the unescaped
     text under the loss mask), formatted_chars, rewrites_history, text and spans (code points; with
-    ``keep_text``, else null: then a task holds one turn, not the conversation, if the template declares a
-    ``context``, see :func:`turn_spans`). If the template rewrites
+    ``keep_text``, else null). A task holds the turns of one conversation, since the template is given them at once. If the template rewrites
     history, the flag is set and everything read from the output is null.
     """
 

@@ -66,16 +66,29 @@ def test_cached_encoder_gives_the_tokenizers_ids():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    plain = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
-    plain.encode_special_tokens = True
+    plain = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))  # as it is
     encode = public_encoder()()
+    odd = st.sampled_from([*" \n\t\r.,'a1é|<>", "\xa0", "\x85", "\u2028", "\u2003", "\x1c", "<|endoftext|>", "<|endoftext", "  ", "don't"])
 
-    @settings(max_examples=300, deadline=None)
-    @given(st.text(st.one_of(st.sampled_from(" \n\t\r.,'a1é"), st.characters(exclude_categories=["Cs"])), max_size=60))
+    @settings(max_examples=1000, deadline=None)
+    @given(st.lists(st.one_of(odd, st.characters(exclude_categories=["Cs"])), max_size=40).map("".join))
     def same(text):
         assert np.frombuffer(encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
 
     same()
+    for text in ("a<|endoftext|>b", " B|> \xa0 \xa0\x85", "a ", " a", " ", "", "a  b", "x \n y", "a\u2028 b", " <|endoftext|> <|endoftext|>", "q\t p"):
+        assert np.frombuffer(encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_ids_of_all_documents_are_the_tokenizers():
+    import pyarrow.parquet as pq
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    encode = public_encoder()()
+    for text in pq.read_table(f"{SF}/documents.parquet", columns=["text"])["text"].to_pylist():
+        assert np.frombuffer(encode(text or ""), "<u4").tolist() == plain.encode(text or "", add_special_tokens=False).ids
 
 
 def test_packing_round_trip(spark):
@@ -178,6 +191,17 @@ def test_real_prefixes_are_rendered():
     assert "".join(piece for _, piece, _, _ in got) == strict(turns) and [piece[a:b] for _, piece, a, b in got] == [t for _, t in turns]
 
 
+def test_a_declared_context_does_not_hide_lost_history():
+    turns = [(r, f"text {i}") for i, r in enumerate(["user", "assistant"] * 5)]
+    with pytest.raises(chat_format.RewritesHistory):
+        list(chat_format.turn_spans(iter(turns), lambda ts: "".join(f"<{t}>" for _, t in ts[-4:]), 2))
+    for n in (9, 10):  # noticed at the end where the length has not doubled again
+        with pytest.raises(chat_format.RewritesHistory):
+            list(chat_format.turn_spans(iter(turns[:n]), lambda ts: "".join(f"<{t}>" for _, t in ts[-8:]), 2))
+    steps = list(chat_format.turn_spans(iter(turns), chat_format.plain_template, 2))
+    assert "".join(piece for _, piece, _, _ in steps) == chat_format.plain_template(turns)
+
+
 def test_format_conversations(spark):
     rows = [(1, 1, "assistant", "b\\## </turn>"), (1, 0, "user", "a"), (2, 0, None, None), (2, None, "assistant", "first"), (None, 5, "us:er", "x"), (3, 0, "assistant", "t"), (3, 0, "assistant", "t")]
     data = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("spans", F.lit(1))
