@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from catalogmap.llm.names import free_names
 from catalogmap.llm.rows import map_rows
 from catalogmap.session import cut
 
@@ -221,11 +222,12 @@ def delete_copied_lines(docs: DataFrame, least_words: int = 25) -> DataFrame:
     All columns and rows stay; the text of other documents is not changed, a null text stays null. A
     document whose lines are all copies keeps an empty text. A column n_deleted is replaced. Lines are split at line feeds only.
     """
-    columns = [c for c in docs.columns if c != "n_deleted"]
-    gone = copied_lines(docs, least_words).select(F.col("doc_id").alias("_gone_id"), F.col("key").alias("_gone_key"), F.col("lines").alias("_gone_lines"))
-    text, same = F.col("text"), F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (F.xxhash64("text") == F.col("_gone_key"))
-    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains("_gone_lines", i)), "\n")
-    cleaned = F.when(F.col("_gone_lines").isNotNull(), kept).otherwise(text).alias("text")
+    columns = [c for c in docs.columns if c.lower() != "n_deleted"]
+    own_id, own_key, own_lines = free_names(docs, "gone_id", "gone_key", "gone_lines")
+    gone = copied_lines(docs, least_words).select(F.col("doc_id").alias(own_id), F.col("key").alias(own_key), F.col("lines").alias(own_lines))
+    text, same = F.col("text"), F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.xxhash64("text") == F.col(own_key))
+    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains(own_lines, i)), "\n")
+    cleaned = F.when(F.col(own_lines).isNotNull(), kept).otherwise(text).alias("text")
     return docs.select(*columns).join(gone, same, "left").select(
-        *[cleaned if c == "text" else F.col(c) for c in columns], F.coalesce(F.size("_gone_lines"), F.lit(0)).alias("n_deleted")
+        *[cleaned if c == "text" else F.col(c) for c in columns], F.coalesce(F.size(own_lines), F.lit(0)).alias("n_deleted")
     )

@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from catalogmap.llm.names import free_names
 from catalogmap.session import cut, cut_counted
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -230,9 +231,10 @@ def sanitise(docs: DataFrame, **thresholds) -> DataFrame:
 
     All rows and columns stay; a null text stays null.
     """
-    found = find_spans(docs, **thresholds).withColumnsRenamed({"doc_id": "_id", "key": "_key", "spans": "_spans"})
+    own_id, own_key, own_spans = free_names(docs, "span_id", "span_key", "spans")
+    found = find_spans(docs, **thresholds).withColumnsRenamed({"doc_id": own_id, "key": own_key, "spans": own_spans})
     text = F.coalesce("text", F.lit(""))
-    met = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_key")), "left")
+    met = docs.join(found, F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.xxhash64(text) == F.col(own_key)), "left")
     tags = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
 
     def write(done: Column, s: Column) -> Column:
@@ -241,7 +243,7 @@ def sanitise(docs: DataFrame, **thresholds) -> DataFrame:
         parts = F.when(s["start"] >= done["at"], F.concat(done["parts"], fresh)).otherwise(done["parts"])
         return F.struct(parts.alias("parts"), F.greatest(done["at"], s["end"]).alias("at"))
 
-    by_start = F.array_sort("_spans", lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]).cast("int"))
+    by_start = F.array_sort(own_spans, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]).cast("int"))
     start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).cast("long").alias("at"))
     done = F.aggregate(by_start, start, write, lambda d: F.concat(F.array_join(d["parts"], ""), F.substr("text", d["at"] + 1, F.length("text").cast("long"))))
-    return met.select(*[F.when(F.col("_spans").isNotNull(), done).otherwise(F.col("text")).alias("text") if c == "text" else docs[c] for c in docs.columns])
+    return met.select(*[F.when(F.col(own_spans).isNotNull(), done).otherwise(F.col("text")).alias("text") if c == "text" else docs[c] for c in docs.columns])
