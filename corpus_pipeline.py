@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalogmap.llm import decontaminate, line_align, packing, simhash, toxicity
+from catalogmap.llm.names import free_names
 from catalogmap.llm.queries import public_encoder, toxic_labels
 from catalogmap.plans.registry import table
 from catalogmap.session import scratch_dir
@@ -52,9 +53,12 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark passage. Rows without doc_id stay."""
-    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold no benchmark passage. A row is judged by its own text, also where ids repeat or are null."""
+    found = decontaminate.contaminated_texts(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "text_key").distinct()
+    own_id, own_key = free_names(docs, "leak_id", "leak_key")
+    found = found.withColumnsRenamed({"doc_id": own_id, "text_key": own_key})
+    same = F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.xxhash64("text") == F.col(own_key))
+    return docs.join(found, same, "left_anti").select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
