@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalogmap.functions.vectors import l2_normalize as l2
-from catalogmap.operators import fusion, models, serving
+from catalogmap.operators import approximate, fusion, models, serving
 from catalogmap.operators.neighbors import knn, scan_top_k, with_similarity
 from catalogmap.plans import roles
 from catalogmap.plans.registry import query, table
@@ -128,6 +128,14 @@ def nearest_neighbors(spark: SparkSession, sf: str) -> DataFrame:
     return near.select("id", "near", F.col("rank").cast("bigint").alias("rank"), F.round("similarity", 6).alias("similarity"))
 
 
+@query("""SELECT count(*) AS vectors, CAST(10 AS INTEGER) AS k, true AS recall_reached FROM embeddings""")
+def approximate_neighbors(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the approximate index finds nine tenths of the neighbours that the exact join finds, over all vectors."""
+    v = roles.vectors(spark, sf).select("book_id", "vector")
+    found = approximate.recall(approximate.approximate_knn(v, 10), knn(v, 10))
+    return found.select(F.col("rows").alias("vectors"), F.lit(10).alias("k"), (F.col("recall") >= 0.9).alias("recall_reached"))
+
+
 def _top_sql(asked: str, k: int) -> str:
     return f"""s AS (SELECT a.id, b.id AS near, round(list_distance(a.v, b.v), 9) AS dist FROM {asked} a JOIN u b ON a.id <> b.id),
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, near) AS rank FROM s)

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute
-from catalogmap.operators import balls, density, graph, merging, metrics, neighbors, reduce, tuning
+from catalogmap.operators import approximate, balls, density, graph, merging, metrics, neighbors, reduce, tuning
 from catalogmap.session import cut
 
 
@@ -258,3 +258,26 @@ def test_blocks_of_dense_rows_are_nested(spark, monkeypatch):
     blocks = balls.nested_blocks(assigned, 16)
     assert blocks.groupBy("block").count().agg({"count": "max"}).first()[0] <= 48
     assert blocks.select("id").distinct().count() == blocks.count() == len(x)
+
+
+@pytest.mark.parametrize("more", [16, 1])
+def test_approximate_neighbours_of_clustered_vectors(spark, monkeypatch, more):
+    monkeypatch.setattr(approximate, "SAMPLE_ROWS", 64)  # two levels from the sample, deeper ones per leaf
+    monkeypatch.setattr(approximate, "MORE_LEVELS", more)
+    rng = np.random.default_rng(10)
+    x = np.repeat(rng.normal(size=(30, 8)) * 9, 20, axis=0) + rng.normal(size=(600, 8))
+    x[:40] = x[0]
+    df = frame(spark, x)
+    found = cut(approximate.approximate_knn(df, 6, "euclidean", trees=8, leaf_rows=40))
+    got, exact = as_lists(found), neighbors.knn(df, 6, "euclidean")
+    assert got[3] == [0, 1, 2, 4, 5, 6]  # copies are found like any others
+    assert {len(v) for v in got.values()} == {6}
+    rows, share = approximate.recall(found, exact).first()
+    assert rows == 600 and share >= (0.9 if more > 1 else 0.5)
+    d = brute.distance_matrix(x)
+    assert all(abs(d[r.id, r.near] - r.dist) < 1e-8 for r in found.collect())
+
+
+def test_approximate_neighbours_of_nothing(spark):
+    assert approximate.approximate_knn(frame(spark, np.zeros((0, 2)))).count() == 0
+    assert approximate.approximate_knn(frame(spark, np.ones((1, 2)))).count() == 0
