@@ -230,17 +230,19 @@ def fuzzy_graph(spark: SparkSession, sf: str) -> DataFrame:
 def spectral_map(spark: SparkSession, sf: str) -> DataFrame:
     """Two coordinates per item for display."""
     edges = cut(reduce.fuzzy_graph(_near(spark, sf, "cosine")))
-    xy = reduce.spectral_reduce(edges, 2, iterations=10)
+    xy = reduce.spectral_reduce(edges, 2)
     return xy.select("id", F.round(F.col("vector")[0], 6).alias("x"), F.round(F.col("vector")[1], 6).alias("y"))
 
 
 @query()
 def reducer_choice(spark: SparkSession, sf: str) -> DataFrame:
-    """Two reduced spaces scored by the validity of their density clusters."""
+    """All reduced spaces scored by the validity of their density clusters; a space needs three clusters to win."""
     v = roles.vectors(spark, sf).select("book_id", "vector")
-    edges = cut(reduce.fuzzy_graph(_near(spark, sf, "cosine")))
+    near = _near(spark, sf, "cosine")
+    edges = cut(reduce.fuzzy_graph(near))
     candidates = {
-        "spectral": cut(reduce.spectral_reduce(edges, 10, iterations=8)),
+        "spectral": reduce.spectral_reduce(edges, 10),
+        "spectral-density": reduce.spectral_reduce(cut(reduce.density_weights(edges, near)), 10),
         "projection": cut(reduce.random_projection(v, 10, 64)),
     }
 
@@ -250,7 +252,7 @@ def reducer_choice(spark: SparkSession, sf: str) -> DataFrame:
         k = found.where("cluster_id >= 0").select("cluster_id").distinct().count()
         return metrics.dbcv(df.join(found, "id"), id_col="id").first()[0], k
 
-    _, report = reduce.choose_reducer(candidates, score)
+    _, report = reduce.choose_reducer(candidates, score, min_clusters=3)
     return report.withColumn("dbcv", F.round("dbcv", 4))
 
 

@@ -194,12 +194,35 @@ def test_spectral_map_keeps_blobs_apart(spark):
     assert edges.agg(F.min("w"), F.max("w")).first()[1] <= 1.0 + 1e-9
     dense = reduce.density_weights(edges, near)
     assert dense.count() == edges.count()
-    xy = np.array([r["vector"] for r in reduce.spectral_reduce(edges, 2, 15).orderBy("id").collect()])
+    xy = np.array([r["vector"] for r in reduce.spectral_reduce(edges, 2).orderBy("id").collect()])
     labels = np.repeat([0, 1, 2], (30, 25, 20))
     hit = [labels[brute.nearest(brute.distance_matrix(xy), 1)[i][0]] == labels[i] for i in range(len(x))]
     assert np.mean(hit) > 0.9
 
 
+@pytest.mark.parametrize("density_aware", [False, True])
+def test_spectrum_against_dense_eigenvectors(spark, density_aware):
+    x = blobs(18, noise=3, dim=4)
+    near = cut(neighbors.knn(frame(spark, x), 12, "euclidean"))
+    edges = cut(reduce.fuzzy_graph(near))
+    if density_aware:
+        edges = cut(reduce.density_weights(edges, near))
+    w = np.zeros((len(x), len(x)))
+    for r in edges.collect():
+        w[r.u, r.v] = w[r.v, r.u] = r.w
+    half = 1 / np.sqrt(w.sum(1))
+    a = w * half[:, None] * half[None, :]
+    values, axes = np.linalg.eigh(a)
+    found = reduce.spectrum(edges, 4, 1e-4)
+    got = np.array([r.vector for r in found.vectors.orderBy("id").collect()])
+    assert np.allclose(got.T @ got, np.eye(4), atol=1e-6)
+    left = np.linalg.norm(a @ got - got * np.array(found.values), axis=0)
+    assert left.max() <= 1.1e-4 and np.allclose(left, found.residuals, atol=1e-6)
+    assert np.allclose(found.values, values[-2:-6:-1], atol=1e-6)
+    angles = np.linalg.svd(axes[:, -5:-1].T @ got, compute_uv=False)
+    assert angles.min() > 1 - 1e-4  # the same subspace
+
+
 def test_reducer_choice_and_guard(spark):
     a, b = frame(spark, np.eye(2)), frame(spark, np.eye(2))
     scores = {id(a): (0.9, 2), id(b): (0.4, 12)}
