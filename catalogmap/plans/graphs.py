@@ -139,14 +139,26 @@ goes AS (SELECT ids.label, coalesce((SELECT min(a) FROM ln JOIN lead ON a = l WH
 num AS (SELECT l, row_number() OVER (ORDER BY l) - 1 AS c FROM (SELECT DISTINCT l FROM goes))"""
 
 
-@query(f"""WITH RECURSIVE {MERGE_LIST},
+# The rescue: noise rows take the cluster with the strongest membership m, where that is above 0.05.
+RESCUED = f"""{MERGE_LIST},
 named AS (SELECT leaf AS g, row_number() OVER (ORDER BY min(id)) - 1 AS c, max(density) AS top FROM found WHERE leaf IS NOT NULL GROUP BY 1),
 cl AS (SELECT id, coalesce(c, -1) AS c, CASE WHEN c IS NULL THEN 0 ELSE density / top END AS prob FROM found LEFT JOIN named ON g = leaf),
 marks AS (SELECT c, v FROM cl JOIN u USING (id) WHERE c >= 0 AND prob >= 1 - 1e-12),
 pulls AS (SELECT cl.id, marks.c AS o, 1 / greatest(min(list_distance(u.v, marks.v)), 1e-9) AS pull FROM cl JOIN u USING (id), marks WHERE cl.c < 0 GROUP BY ALL),
 saved AS (SELECT id, o, round(pull, 9) / sum(pull) OVER (PARTITION BY id) AS m FROM pulls
   QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(pull, 9) DESC, o) = 1),
-rescued AS (SELECT cl.id, CAST(CASE WHEN m > 0.05 THEN o ELSE c END AS INTEGER) AS label, prob FROM cl LEFT JOIN saved USING (id)),
+rescued AS (SELECT cl.id, m, CAST(CASE WHEN m > 0.05 THEN o ELSE c END AS INTEGER) AS label, prob FROM cl LEFT JOIN saved USING (id))"""
+
+
+@query(f"""WITH RECURSIVE {RESCUED}
+SELECT id AS book_id, label AS cluster_id, round(CASE WHEN m > 0.05 THEN m ELSE prob END, 6) AS probability FROM rescued""")
+def rescued_probability(spark: SparkSession, sf: str) -> DataFrame:
+    """Rescued rows with the membership that saved them as their probability."""
+    v = roles.vectors(spark, sf).select("book_id", "vector")
+    return _six(merging.rescue_noise(_clusters(spark, sf), v, refresh_probability=True))
+
+
+@query(f"""WITH RECURSIVE {RESCUED},
 placed AS (SELECT rescued.label, embedding FROM rescued JOIN embeddings ON vec_id = id WHERE rescued.label >= 0),
 {_merged_sql('placed', 0.92)}
 SELECT id AS book_id, CAST(coalesce(c, -1) AS INTEGER) AS cluster_id, round(prob, 6) AS probability
