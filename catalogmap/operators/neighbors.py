@@ -27,7 +27,6 @@ BLOCK_ROWS = 1024
 MAX_PIVOTS = 4096
 MAX_BROADCAST_BYTES = 64 << 20
 _DUP_SALTS = 32
-_SLACK = 1e-9
 
 
 def stack(vectors: pd.Series) -> np.ndarray:
