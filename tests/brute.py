@@ -40,6 +40,27 @@ def kruskal(edges):
     return out
 
 
+def merge_list(edges):
+    """{edge: (parent edge or None, size)} and {node: first edge} of a forest's (w, u, v), merged one by one."""
+    part, size, made, tree, least = {}, {}, {}, {}, {}
+    for e in sorted(edges):
+        _, u, v = e
+        for x in (u, v):
+            least.setdefault(x, e)
+            part.setdefault(x, x)
+            size.setdefault(x, 1)
+        a, b = part[u], part[v]
+        for side in (a, b):
+            if side in made:
+                tree[made[side]] = (e, tree[made[side]][1])
+        size[a] += size.pop(b)
+        part = {x: a if c == b else c for x, c in part.items()}
+        made.pop(b, None)
+        made[a] = e
+        tree[e] = (None, size[a])
+    return tree, least
+
+
 def merge_tree_clusters(tree, n, mcs, selection):
     """Clusters from the full merge tree, one edge at a time; −1 is noise."""
     comp = {i: i for i in range(n)}

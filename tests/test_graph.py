@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute
-from catalogmap.operators import approximate, balls, density, graph, merging, metrics, neighbors, reduce, tuning
+from catalogmap.operators import approximate, balls, condensed, density, graph, merging, metrics, neighbors, reduce, tuning
 from catalogmap.session import cut
 
 
@@ -106,6 +106,58 @@ def test_density_clusters_equal_the_merge_tree(spark, seed, mcs, selection):
     assert {c for c in want if c >= 0} == {r["cluster_id"] for r in got if r["probability"] == 1.0}
 
 
+def shaped_tree(shape, n=70):
+    rng = np.random.default_rng(5)
+    if shape == "rising path":
+        return [(1.0 + i, i, i + 1) for i in range(n)]
+    if shape == "equal path":
+        return [(1.0, i, i + 1) for i in range(n)]
+    if shape == "star":
+        return [(float(rng.integers(1, 9)), 0, i) for i in range(1, n)]
+    if shape == "comb":  # pairs hang on a rising path: every merge of the path is a split for size 2
+        return [(1.0 + i, 2 * i, 2 * i + 2) for i in range(n // 2)] + [(0.5, 2 * i, 2 * i + 1) for i in range(n // 2 + 1)]
+    trees = 3 if shape == "forest" else 1  # node i hangs on an earlier node of the tree i % trees
+    return [(round(float(rng.exponential()), 1), int(rng.integers(i // trees)) * trees + i % trees, i) for i in range(trees, n)]
+
+
+@pytest.mark.parametrize("shape", ["rising path", "star", "comb", "forest"])
+def test_merge_tree_equals_the_merge_list(spark, shape):
+    edges = shaped_tree(shape)
+    want, want_least = brute.merge_list(edges)
+    forest = spark.createDataFrame([(u, v, w) for w, u, v in edges], "u bigint, v bigint, w double")
+    tree, least = condensed.merge_tree(forest)
+    got = {tuple(r["e"]): (r["parent"] and tuple(r["parent"]), r["size"]) for r in tree.collect()}
+    assert got == want
+    assert {r["id"]: tuple(r["e"]) for r in least.collect()} == want_least
+
+
+@pytest.mark.parametrize("shape,mcs", [("comb", 2), ("random", 5)])
+def test_stable_clusters_of_deep_trees(spark, shape, mcs):
+    edges = shaped_tree(shape)
+    forest = spark.createDataFrame([(u, v, w) for w, u, v in edges], "u bigint, v bigint, w double")
+    n = 1 + max(v for _, _, v in edges)
+    nodes = spark.range(n).withColumnRenamed("id", "book_id")
+    tree = condensed.merge_tree(forest)
+    for selection in ("leaf", "eom"):
+        got = density.density_clusters(forest, nodes, mcs, selection, tree=tree).orderBy("book_id").collect()
+        assert [r["cluster_id"] for r in got] == list(brute.merge_tree_clusters(edges, n, mcs, selection))
+
+
+def test_levels_are_nested(spark):
+    edges = shaped_tree("random", 90)
+    forest = spark.createDataFrame([(u, v, w) for w, u, v in edges], "u bigint, v bigint, w double")
+    rows = density.cluster_levels(forest, spark.range(90).withColumnRenamed("id", "book_id"), [3, 6, 12]).collect()
+    of = {(r["level"], r["book_id"]): r["cluster_id"] for r in rows}
+    parents = {}
+    for r in rows:
+        assert r["parent_id"] == of.get((r["level"] - 1, r["book_id"]), -1)
+        if r["cluster_id"] >= 0:
+            parents.setdefault((r["level"], r["cluster_id"]), set()).add(r["parent_id"])
+    assert {len(p) for p in parents.values()} == {1}
+    for level, size in enumerate((12, 6, 3)):
+        assert [of[level, i] for i in range(90)] == list(brute.merge_tree_clusters(edges, 90, size, "leaf"))
+
+
 def test_long_chain_of_growing_gaps(spark):
     n = 200
     rows = [(i, i + 1, 1.0 + i) for i in range(n)]
