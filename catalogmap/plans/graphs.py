@@ -74,28 +74,35 @@ def spanning_forest(spark: SparkSession, sf: str) -> DataFrame:
 
 # The merge list, one edge per round. Lists hold a value per row: its part, the weight at which the part grew
 # large enough, whether the part holds a split, the worth of its chosen clusters and the edge that formed it.
-MERGE_LIST = f"""{TREE},
+ORDERED = f"""{TREE},
 ix AS (SELECT id, row_number() OVER (ORDER BY id) AS i FROM u),
-es AS (SELECT row_number() OVER (ORDER BY w, u, v) AS step, a.i AS iu, b.i AS iv, w FROM tree JOIN ix a ON a.id = u JOIN ix b ON b.id = v),
-merge(step, part, settled, parted, kids, formed, leaf, eom) AS (
+es AS (SELECT row_number() OVER (ORDER BY w, u, v) AS step, a.i AS iu, b.i AS iv, w FROM tree JOIN ix a ON a.id = u JOIN ix b ON b.id = v)"""
+
+
+def _merge_list(size: int, tag: str = "") -> str:
+    """found (id, density, leaf, eom) of the least cluster size, from ``ORDERED``; ``tag`` ends its names."""
+    return f"""merge{tag}(step, part, settled, parted, kids, formed, leaf, eom) AS (
   SELECT 0::BIGINT, list(i ORDER BY i), list(NULL::DOUBLE), list(false), list(0::DOUBLE), list('inf'::DOUBLE), list(0::BIGINT), list(0::BIGINT) FROM ix
   UNION ALL
   SELECT step + 1,
     list_transform(part, lambda x: CASE WHEN x = b THEN a ELSE x END),
-    list_transform(settled, lambda t, i: CASE WHEN t IS NULL AND na + nb >= {MIN_SIZE} AND part[i] IN (a, b) THEN w ELSE t END),
+    list_transform(settled, lambda t, i: CASE WHEN t IS NULL AND na + nb >= {size} AND part[i] IN (a, b) THEN w ELSE t END),
     list_transform(parted, lambda x, i: x OR (part[i] IN (a, b) AND (split OR pa OR pb))),
-    list_transform(kids, lambda x, i: CASE WHEN part[i] NOT IN (a, b) THEN x WHEN split THEN greatest(oa, ka) + greatest(ob, kb) WHEN na >= {MIN_SIZE} THEN ka WHEN nb >= {MIN_SIZE} THEN kb ELSE 0 END),
-    list_transform(formed, lambda x, i: CASE WHEN part[i] NOT IN (a, b) THEN x WHEN split THEN lam WHEN na >= {MIN_SIZE} THEN fa WHEN nb >= {MIN_SIZE} THEN fb ELSE 'inf'::DOUBLE END),
+    list_transform(kids, lambda x, i: CASE WHEN part[i] NOT IN (a, b) THEN x WHEN split THEN greatest(oa, ka) + greatest(ob, kb) WHEN na >= {size} THEN ka WHEN nb >= {size} THEN kb ELSE 0 END),
+    list_transform(formed, lambda x, i: CASE WHEN part[i] NOT IN (a, b) THEN x WHEN split THEN lam WHEN na >= {size} THEN fa WHEN nb >= {size} THEN fb ELSE 'inf'::DOUBLE END),
     list_transform(leaf, lambda x, i: CASE WHEN split AND NOT parted[i] AND part[i] = a THEN 2 * step + 1 WHEN split AND NOT parted[i] AND part[i] = b THEN 2 * step + 2 ELSE x END),
     list_transform(eom, lambda x, i: CASE WHEN split AND part[i] = a AND oa >= ka THEN 2 * step + 1 WHEN split AND part[i] = b AND ob >= kb THEN 2 * step + 2 ELSE x END)
-  FROM (SELECT *, na >= {MIN_SIZE} AND nb >= {MIN_SIZE} AS split,
+  FROM (SELECT *, na >= {size} AND nb >= {size} AS split,
       list_sum(list_transform(range(1, len(part) + 1), lambda i: CASE WHEN part[i] = a THEN least(1 / greatest(settled[i], 1e-12), fa) - lam ELSE 0 END)) AS oa,
       list_sum(list_transform(range(1, len(part) + 1), lambda i: CASE WHEN part[i] = b THEN least(1 / greatest(settled[i], 1e-12), fb) - lam ELSE 0 END)) AS ob
-    FROM (SELECT merge.*, w, 1 / greatest(w, 1e-12) AS lam, part[iu] AS a, part[iv] AS b, parted[iu] AS pa, parted[iv] AS pb, kids[iu] AS ka, kids[iv] AS kb,
+    FROM (SELECT merge{tag}.*, w, 1 / greatest(w, 1e-12) AS lam, part[iu] AS a, part[iv] AS b, parted[iu] AS pa, parted[iv] AS pb, kids[iu] AS ka, kids[iv] AS kb,
         formed[iu] AS fa, formed[iv] AS fb, len(list_filter(part, lambda x: x = part[iu])) AS na, len(list_filter(part, lambda x: x = part[iv])) AS nb
-      FROM merge JOIN es ON es.step = merge.step + 1))),
-last AS (SELECT * FROM merge ORDER BY step DESC LIMIT 1),
-found AS (SELECT id, 1 / greatest(settled[i], 1e-12) AS density, nullif(leaf[i], 0) AS leaf, nullif(eom[i], 0) AS eom FROM ix, last)"""
+      FROM merge{tag} JOIN es ON es.step = merge{tag}.step + 1))),
+last{tag} AS (SELECT * FROM merge{tag} ORDER BY step DESC LIMIT 1),
+found{tag} AS (SELECT id, 1 / greatest(settled[i], 1e-12) AS density, nullif(leaf[i], 0) AS leaf, nullif(eom[i], 0) AS eom FROM ix, last{tag})"""
+
+
+MERGE_LIST = f"{ORDERED},\n{_merge_list(MIN_SIZE)}"
 
 
 def _numbered_sql(kind: str) -> str:
@@ -125,6 +132,31 @@ def density_clusters_eom(spark: SparkSession, sf: str) -> DataFrame:
     return _six(_clusters(spark, sf, "eom"))
 
 
+LEVELS = (40, 20, 10)
+
+
+def _levels_sql() -> str:
+    """Leaf clusters of every size of ``LEVELS``, with the row's cluster one level up."""
+    parts = [ORDERED]
+    for i, size in enumerate(LEVELS):
+        parts += [
+            _merge_list(size, str(i)),
+            f"named{i} AS (SELECT leaf AS g, row_number() OVER (ORDER BY min(id)) - 1 AS c FROM found{i} WHERE leaf IS NOT NULL GROUP BY 1)",
+            f"level{i} AS (SELECT id, CAST(coalesce(c, -1) AS INTEGER) AS c FROM found{i} LEFT JOIN named{i} ON g = leaf)",
+        ]
+    rows = ["SELECT id AS book_id, 0 AS level, c AS cluster_id, -1 AS parent_id FROM level0"]
+    rows += [f"SELECT id, {i}, level{i}.c, level{i - 1}.c FROM level{i} JOIN level{i - 1} USING (id)" for i in range(1, len(LEVELS))]
+    return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + " UNION ALL ".join(rows)
+
+
+@query(_levels_sql())
+def nested_levels(spark: SparkSession, sf: str) -> DataFrame:
+    """Coarse to fine leaf clusters from one merge tree; each lies in one cluster of the level above or in its noise."""
+    v = roles.vectors(spark, sf).select("book_id", "vector")
+    forest = cut(density.reachability_forest(v, MIN_SAMPLES, near=_near(spark, sf)))
+    return density.cluster_levels(forest, v, LEVELS)
+
+
 def _merged_sql(source: str, threshold: float) -> str:
     """goes (label, l) and num (l, c): the greedy merge of the labels of ``source`` (label, embedding)."""
     return f"""cent AS (SELECT label, pos, avg(x) AS x FROM (SELECT label, unnest(range(0, len(embedding))) AS pos, unnest(embedding)::DOUBLE AS x FROM {source}) GROUP BY ALL),
