@@ -265,13 +265,30 @@ def assign_stream(spark: SparkSession, sf: str) -> DataFrame:
     return stored.select("book_id", "cluster_id", F.round("similarity", 6).alias("similarity"))
 
 
-@query("""WITH s AS (SELECT date_trunc('day', ts) AS w, event_type, count(*) AS n FROM events GROUP BY ALL)
-SELECT strftime(w, '%Y-%m-%d') AS day, event_type AS cluster_id, n, round(n / sum(n) OVER (PARTITION BY w), 6) AS share FROM s""")
+TREND = """WITH s AS (SELECT date_trunc('day', ts) AS w, event_type, count(*) AS n FROM events GROUP BY ALL)
+SELECT strftime(w, '%Y-%m-%d') AS day, event_type AS cluster_id, n, round(n / sum(n) OVER (PARTITION BY w), 6) AS share FROM s"""
+
+
+def _daily(trend: DataFrame) -> DataFrame:
+    return trend.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "cluster_id", "n", F.round("share", 6).alias("share"))
+
+
+@query(TREND)
 def cluster_trend(spark: SparkSession, sf: str) -> DataFrame:
     """Event types as clusters, day by day."""
     arriving = table(spark, sf, "events").select("ts", F.col("event_type").alias("cluster_id"))
-    trend = assign.cluster_trend(arriving)
-    return trend.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "cluster_id", "n", F.round("share", 6).alias("share"))
+    return _daily(assign.cluster_trend(arriving))
+
+
+@query(TREND)
+def cluster_trend_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The same trend from a stream of events, with the open days in Spark's state."""
+    schema = table(spark, sf, "events").schema
+    arriving = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    events = arriving.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("cluster_id"))
+    out = f"{scratch_dir(spark)}/trend-{uuid.uuid4().hex}"
+    assign.trend_stream(events, out, f"{out}-state").trigger(availableNow=True).start().awaitTermination()
+    return _daily(assign.read_trend(spark.read.parquet(out)))
 
 
 @query("""WITH d AS (SELECT CAST(substring(source, 4) AS INTEGER) AS cluster_id, lang FROM documents),

@@ -85,11 +85,38 @@ def _assign_by_join(items: DataFrame, centroids: DataFrame, min_similarity: floa
 
 def cluster_trend(assigned: DataFrame, ts_col: str = "ts", every: str = "1 day") -> DataFrame:
     """(window_start, cluster_id, n, share): how clusters grow or shrink over time slices."""
-    slices = assigned.groupBy(F.window(ts_col, every).alias("w"), "cluster_id").agg(F.count(F.lit(1)).alias("n"))
-    totals = slices.groupBy("w").agg(F.sum("n").alias("total"))
-    return slices.join(totals, "w").select(
-        F.col("w.start").alias("window_start"), "cluster_id", "n", (F.col("n") / F.col("total")).alias("share")
-    )
+    return _shares(_slices(assigned, ts_col, every))
+
+
+def trend_stream(assigned: DataFrame, path: str, state: str, ts_col: str = "ts", every: str = "1 day", late: str = "1 day") -> DataStreamWriter:
+    """A writer of the slice counts of a stream; start it with a trigger, read them with :func:`read_trend`.
+
+    The counts of open slices are kept in Spark's state. A micro-batch stores the slices that it changed
+    in a folder of its own (``batch=n``), which a repeated run overwrites. A slice closes when the greatest
+    time seen is ``late`` beyond its end: its state goes, and rows that come later still are dropped.
+    """
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    counts = _slices(assigned.withWatermark(ts_col, late), ts_col, every)
+    return counts.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", state)
+
+
+def read_trend(stored: DataFrame) -> DataFrame:
+    """The rows of :func:`cluster_trend` from what :func:`trend_stream` stored: the last count of each slice."""
+    last = stored.groupBy("window_start", "cluster_id").agg(F.max(F.struct("batch", "n")).alias("m"))
+    return _shares(last.select("window_start", "cluster_id", "m.n"))
+
+
+def _slices(assigned: DataFrame, ts_col: str, every: str) -> DataFrame:
+    counts = assigned.groupBy(F.window(ts_col, every).alias("w"), "cluster_id").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select(F.col("w.start").alias("window_start"), "cluster_id", "n")
+
+
+def _shares(slices: DataFrame) -> DataFrame:
+    totals = slices.groupBy("window_start").agg(F.sum("n").alias("total"))
+    return slices.join(totals, "window_start").select("window_start", "cluster_id", "n", (F.col("n") / F.col("total")).alias("share"))
 
 
 def population_drift(before: DataFrame, after: DataFrame, label_col: str = "cluster_id") -> DataFrame:

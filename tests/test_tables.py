@@ -276,6 +276,24 @@ def test_stream_equals_batch(spark, tmp_path):
     assert any(c == -1 for _, c in key(assign.assign_clusters(df, cents, 0.2)))
 
 
+def test_trend_of_a_stream_with_late_rows(spark, tmp_path):
+    batches = [
+        [("2024-01-01 12:00", 0), ("2024-01-01 12:00", 0), ("2024-01-01 08:00", 1)],
+        [("2024-01-03 12:00", 1), ("2024-01-01 09:00", 0)],  # a late row of an open day
+        [("2024-01-01 10:00", 1), ("2024-01-02 10:00", 0)],  # the first day is closed by now, the second is not
+        [("2024-01-03 13:00", 1)],
+    ]
+    frames = [spark.createDataFrame(b, "ts string, cluster_id int").select(F.to_timestamp("ts").alias("ts"), "cluster_id") for b in batches]
+    source, out, state = (str(tmp_path / name) for name in ("in", "out", "state"))
+    for df in frames:  # every start goes on from the state of the one before
+        df.coalesce(1).write.mode("append").parquet(source)
+        items = spark.readStream.schema(df.schema).parquet(source)
+        assign.trend_stream(items, out, state).trigger(availableNow=True).start().awaitTermination()
+    counted = frames[0].unionByName(frames[1]).unionByName(frames[2].where("cluster_id = 0")).unionByName(frames[3])
+    rows = lambda df: sorted(map(tuple, df.select("window_start", "cluster_id", "n", "share").collect()))
+    assert rows(assign.read_trend(spark.read.parquet(out))) == rows(assign.cluster_trend(counted))
+
+
 def test_drift(spark):
     a = spark.createDataFrame([(0,), (0,), (1,), (1,)], "cluster_id int")
     b = spark.createDataFrame([(0,), (2,)], "cluster_id int")
