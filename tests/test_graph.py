@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute
-from catalogmap.operators import approximate, balls, condensed, density, graph, merging, metrics, neighbors, reduce, tuning
+from catalogmap.operators import approximate, balls, condensed, density, foreign, graph, merging, metrics, neighbors, reduce, tuning
 from catalogmap.session import cut
 
 
@@ -90,10 +90,59 @@ def test_reachability_forest_is_the_true_tree(spark, block_rows, few, monkeypatc
     m = brute.reachability(brute.distance_matrix(x), 4)
     want = brute.kruskal([(m[i, j], i, j) for i in range(len(x)) for j in range(i + 1, len(x))])
     tree = density.reachability_forest(frame(spark, x), 4, block_rows=block_rows).collect()
-    assert len(tree) == len(x) - 1
+    assert sorted((r["u"], r["v"]) for r in tree) == sorted((u, v) for _, u, v in want)
     assert sum(r["w"] for r in tree) == pytest.approx(sum(w for w, _, _ in want), abs=1e-6)
 
 
+@pytest.mark.parametrize("case", ["far blobs", "grid", "copies"])
+def test_parts_seek_their_least_way_out(spark, case):
+    rng = np.random.default_rng(8)
+    if case == "far blobs":  # no neighbour list leads out of a blob
+        x = np.vstack([rng.normal(100 * c, 1, (40, 3)) for c in range(5)])
+    elif case == "grid":  # ties everywhere
+        x = np.array([[i, j] for i in range(12) for j in range(12)], float)
+    else:
+        x = rng.normal(size=(150, 2))
+        x[::3], x[1::9] = x[0], x[1]
+    df = frame(spark, x)
+    near = cut(neighbors.knn(df, 6, "euclidean", 16))
+    pts = df.select(F.col("book_id").alias("id"), F.col("vector").alias("vec")).join(graph.core_distances(near, 4), "id")
+    tree = foreign.exact_forest(cut(pts), near, 16).collect()
+    m = brute.reachability(brute.distance_matrix(x), 4)
+    want = brute.kruskal([(m[i, j], i, j) for i in range(len(x)) for j in range(i + 1, len(x))])
+    assert len(tree) == len(x) - 1
+    assert sorted(r["w"] for r in tree) == pytest.approx(sorted(w for w, _, _ in want), abs=1e-6)
+    if case != "copies":  # a copy hangs on the first of its kind
+        assert sorted((r["u"], r["v"]) for r in tree) == sorted((u, v) for _, u, v in want)
+
+
+def test_forest_of_few_rows(spark):
+    for x in (np.zeros((3, 2)), np.array([[0.0, 0], [1, 0]])):
+        df = frame(spark, x)
+        near = neighbors.knn(df, 4, "euclidean")
+        pts = df.select(F.col("book_id").alias("id"), F.col("vector").alias("vec"), F.lit(0.5).alias("core"))
+        assert foreign.exact_forest(pts, near, 16).count() == len(x) - 1
+
+
+def test_the_inside_of_a_part_is_passed_over(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = np.vstack([rng.normal(20 * c, 1, (200, 4)) for c in range(6)])
+    met, plain = [], foreign.foreign_pairs
+
+    def counted(asking, blocks, cells):
+        pairs = plain(asking, blocks, cells)
+        met.append((pairs.count(), blocks.count()))
+        return pairs
+
+    monkeypatch.setattr(foreign, "foreign_pairs", counted)
+    df = frame(spark, x)
+    near = cut(neighbors.knn(df, 15, "euclidean", 40))
+    pts = df.select(F.col("book_id").alias("id"), F.col("vector").alias("vec")).join(graph.core_distances(near, 5), "id")
+    assert foreign.exact_forest(cut(pts), near, 40).count() == len(x) - 1
+    blocks = met[0][1]
+    assert sum(n for n, _ in met) < 0.3 * len(met) * blocks * blocks
+
+
 @pytest.mark.parametrize("seed,mcs,selection", [(7, 5, "leaf"), (8, 3, "eom"), (9, 8, "eom")])
 def test_density_clusters_equal_the_merge_tree(spark, seed, mcs, selection):
     x = blobs(seed, spread=0.9, noise=20)
