@@ -400,3 +400,24 @@ def test_url_rules(spark, ranges):
     assert sorted(map(tuple, got), key=str) == want
     assert url_rules.judge_urls(pages.limit(0), given_rules).count() == 0
     assert url_rules.judge_urls(pages, given_rules.limit(0)).where("rule is not null or verdict <> 'allow'").count() == 0
+
+
+def test_many_rules_of_one_host(spark):
+    """Nested and neighbouring paths of one host, a subdomain between them, repeated paths."""
+    rng = random.Random(31)
+    paths = ["/" + "".join(rng.choices("ab/", k=rng.randint(0, 6))) for _ in range(300)]
+    rules = [(rng.choice(["x.org", "x.org", "s.x.org", "org"]), p, rng.choice(["allow", "block"])) for p in paths]
+    urls = [f"http://{rng.choice(['x.org', 's.x.org', 't.s.x.org', 'y.org'])}/{''.join(rng.choices('ab/c', k=rng.randint(0, 8)))}" for _ in range(400)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = url_rules.judge_urls(pages, spark.createDataFrame(rules, "host string, path string, verdict string"), 3).collect()
+    assert sorted(map(tuple, got)) == sorted((i, *brute.judged(u, rules)) for i, u in enumerate(urls))
+
+
+def test_a_url_does_not_visit_all_rules_of_its_host():
+    host = url_rules._Host("org,x,")
+    for i in range(100_000):
+        host.add(f"/{i:06d}/", (i,))
+    calls, plain = [], host._enclosing
+    host._enclosing = lambda at, path: calls.append(at) or plain(at, path)
+    assert host.longest("/073210/page") == (73_210,) and host.longest("/0732/page") is None and host.longest("/") is None
+    assert len(calls) == 3 and max(host.around) == -1
