@@ -1,14 +1,15 @@
 """Line-level deduplication by pairwise alignment.
 
-A text is the sequence of its lines with words. A *run* is the shortest stretch of lines from a given line
-on that has ``least_words`` words: two documents share a block of that size exactly if they share a run,
-and runs of that many words are rare. Every run links its later holders to its first one only, so a
-passage in a third of all documents gives one pair per document and no run is missed: a run that a later
-holder shares with any earlier one is also in the first (lines after it that only a holder between them
-has, too few for a run of their own, stay). The two line sequences of a pair are aligned by
-patience diff (lines that occur once in both, in rising order, then the gaps between them); gaps without
-such lines are matched by their runs. An alignment may split a block, so every common stretch of the pair is
-looked up as well. Common blocks of ``least_words`` words or more are deleted from the later document. The first holder keeps its lines, so no text is lost.
+A text is the sequence of its lines with words. A *run* is a shortest stretch of lines that has ``least_words``
+words, from a given line on or up to a given line. Runs of that many words are rare. Each line of a block of that
+size lies in a run inside the block: in the one that begins there, or, where the block ends too soon, in the one up
+to the block's end. So a line is a copy exactly if a run that holds it is in an earlier document, and it is enough that
+every run links its later holders to its first one: a passage in a third of all documents gives one pair per
+document and no copy is missed. The two line sequences of a pair are aligned by patience diff (lines that occur
+once in both, in rising order, then the gaps between them); gaps without such lines are matched by their runs. An
+alignment may split a block, so every common stretch of the pair is looked up as well. Common blocks of
+``least_words`` words or more are deleted from the later document. A line is only deleted where an earlier document
+has it, so no text is lost.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ LAST = 2**63 - 1
 PARTNERS = 256
 
 
-def line_runs(text: str | None, least_words: int) -> tuple[list[int], list[int], list[int], list[int]]:
-    """(place of each line with words, its hash, its words, hash of the run that begins there or 0)."""
+def line_runs(text: str | None, least_words: int) -> tuple[list[int], list[int], list[int], list[int], list[int]]:
+    """(place of each line with words, its hash, its words, hashes of the runs from and up to there or 0)."""
     places, hashes, words = [], [], []
     for i, line in enumerate((text or "").encode("utf-8", "surrogatepass").split(b"\n")):
         parts = line.split()
@@ -44,8 +45,11 @@ def line_runs(text: str | None, least_words: int) -> tuple[list[int], list[int],
     octets = np.array(hashes, "<u8").tobytes()
     ends = np.searchsorted(sums := np.concatenate(([0], np.cumsum(words, dtype=np.int64))), sums[:-1] + least_words, "left")
     runs = [xxhash.xxh64_intdigest(octets[8 * i : 8 * e], 1) or 1 if e <= len(places) else 0 for i, e in enumerate(ends.tolist())]
+    # the last line from which the words up to and with line i are enough
+    froms = np.searchsorted(sums, sums[1:] - least_words, "right") - 1
+    upto = [xxhash.xxh64_intdigest(octets[8 * f : 8 * (i + 1)], 1) or 1 if f >= 0 else 0 for i, f in enumerate(froms.tolist())]
     signed = lambda xs: np.array(xs, np.uint64).view(np.int64).tolist()
-    return places, signed(hashes), words, signed(runs)
+    return places, signed(hashes), words, signed(runs), signed(upto)
 
 
 def patience_anchors(a: list[int], b: list[int], alo: int, ahi: int, blo: int, bhi: int) -> list[tuple[int, int]]:
@@ -179,15 +183,15 @@ def copied_lines(docs: DataFrame, least_words: int = 25) -> DataFrame:
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         for doc_id, text in rows:
-            places, hashes, words, runs = line_runs(text, least_words)
+            places, hashes, words, runs, upto = line_runs(text, least_words)
             if any(runs):
                 key = xxhash.xxh64_intdigest((text or "").encode("utf-8", "surrogatepass"), 42)  # as Spark's xxhash64
                 key = key - (1 << 64) if key >> 63 else key
-                yield doc_id, LAST if doc_id is None else doc_id, key, places, hashes, words, runs
+                yield doc_id, LAST if doc_id is None else doc_id, key, places, hashes, words, runs, sorted({*runs, *upto} - {0})
 
-    fields = "doc_id long, ord long, key long, places array<int>, hashes array<long>, words array<int>, runs array<long>"
+    fields = "doc_id long, ord long, key long, places array<int>, hashes array<long>, words array<int>, runs array<long>, held array<long>"
     lines = cut(map_rows(docs.select("doc_id", "text"), run, fields))
-    held = lines.select("ord", "key", F.explode(F.array_distinct("runs")).alias("run")).where("run <> 0")
+    held = lines.select("ord", "key", F.explode("held").alias("run"))
     me = F.struct("ord", "key")
     holders = held.groupBy("run").agg(F.min(me).alias("first"), F.max(me).alias("last"), F.count(F.lit(1)).alias("n"))
     # a first holder with many partners is sent to them in several copies, so that no task meets them all

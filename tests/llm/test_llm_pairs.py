@@ -146,6 +146,24 @@ def test_blocks_that_the_alignment_splits(spark):
     assert got == {1: ("\n".join((c, z, c, last)), 0), 2: (w, 2)}
 
 
+def test_every_copy_of_a_corpus_goes(spark):
+    """Equal to plain comparison of all stretches of all pairs, with lines of every length and chains of holders."""
+    rng = random.Random(41)
+    pool = [passage(rng, n) for n in (1, 2, 4, 7, 9, 12, 16, 20, 31, 40)]
+    first, tail = passage(rng, 31), passage(rng, 20)
+    texts = [first, f"{first}\n{tail}", f"{first}\n{tail}\n{passage(rng, 3)}"] + ["\n".join(rng.choices(pool, k=rng.randint(1, 7))) for _ in range(40)]
+    want, seen = {}, set()
+    for i, text in enumerate(texts):
+        lines = text.split("\n")
+        spans = [(a, b) for a in range(len(lines)) for b in range(a + 1, len(lines) + 1) if len(" ".join(lines[a:b]).split()) >= 25]
+        gone = {k for a, b in spans if tuple(lines[a:b]) in seen for k in range(a, b)}
+        want[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+        seen |= {tuple(lines[a:b]) for a, b in spans}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.text for r in line_align.delete_copied_lines(docs).collect()} == want
+    assert want[2] == texts[2].split("\n")[2]
+
+
 def test_every_common_block_goes():
     rng = random.Random(29)
     for _ in range(400):
