@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalogmap.operators import density, graph, merging, metrics, reduce, tuning
+from catalogmap.operators.condensed import merge_tree
+from catalogmap.operators.membership import merge_heights
 from catalogmap.operators.neighbors import knn
 from catalogmap.plans import roles
 from catalogmap.plans.registry import query
@@ -190,6 +192,31 @@ def rescued_probability(spark: SparkSession, sf: str) -> DataFrame:
     return _six(merging.rescue_noise(_clusters(spark, sf), v, refresh_probability=True))
 
 
+# Both halves of the membership: the tree is walked from every noise row for its merge heights.
+SOFT = f"""{RESCUED},
+ways AS (SELECT u AS a, v AS b, w FROM tree UNION ALL SELECT v, u, w FROM tree),
+walked(x, here, prev, w) AS (SELECT id, id, -1::BIGINT, 0::DOUBLE FROM cl WHERE c < 0
+  UNION ALL SELECT x, b, here, greatest(walked.w, ways.w) FROM walked JOIN ways ON a = here AND b <> prev),
+high AS (SELECT x, c AS o, 1 / greatest(min(w), 1e-12) AS h FROM walked JOIN cl ON cl.id = here WHERE c >= 0 GROUP BY ALL),
+half AS (SELECT pulls.id, pulls.o, pull, top / greatest(top - coalesce(h, 0), 1e-8 * top) AS s, coalesce(h, 0) / top AS inside
+  FROM pulls JOIN named ON named.c = pulls.o LEFT JOIN high ON x = pulls.id AND high.o = pulls.o),
+heavy AS (SELECT id, o, pull * exp(s - max(s) OVER (PARTITION BY id)) AS g, max(inside) OVER (PARTITION BY id) AS share FROM half),
+soft AS (SELECT id, o, g / sum(g) OVER (PARTITION BY id) AS g, share FROM heavy),
+both_halves AS (SELECT id, o, round(g, 9) * share AS m FROM soft QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(g, 9) DESC, o) = 1)"""
+
+
+@query(f"""WITH RECURSIVE {SOFT}
+SELECT cl.id AS book_id, CAST(CASE WHEN m > 0.05 THEN o ELSE c END AS INTEGER) AS cluster_id, round(CASE WHEN m > 0.05 THEN m ELSE prob END, 6) AS probability
+FROM cl LEFT JOIN both_halves ON both_halves.id = cl.id""")
+def soft_membership(spark: SparkSession, sf: str) -> DataFrame:
+    """Noise rows rescued by both halves of the membership: exemplar distances and merge heights."""
+    v = roles.vectors(spark, sf).select("book_id", "vector")
+    tree = merge_tree(cut(density.reachability_forest(v, MIN_SAMPLES, near=_near(spark, sf))))
+    clusters = cut(density.density_clusters(tree[0], v, MIN_SIZE, tree=tree))
+    heights = merge_heights(tree, clusters, MIN_SIZE)
+    return _six(merging.rescue_noise(clusters, v, refresh_probability=True, heights=heights))
+
+
 @query(f"""WITH RECURSIVE {RESCUED},
 placed AS (SELECT rescued.label, embedding FROM rescued JOIN embeddings ON vec_id = id WHERE rescued.label >= 0),
 {_merged_sql('placed', 0.92)}

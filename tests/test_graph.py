@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute
-from catalogmap.operators import approximate, balls, condensed, density, foreign, graph, merging, metrics, neighbors, reduce, tuning
+from catalogmap.operators import approximate, balls, condensed, density, foreign, graph, membership, merging, metrics, neighbors, reduce, tuning
 from catalogmap.session import cut
 
 
@@ -341,6 +341,38 @@ def test_search_space_and_tuning(spark):
     assert out[0]["min_cluster_size"] == 10 and out[0]["n_clusters"] == 3 and out[1]["objective"] == -1.0
 
 
+@pytest.mark.parametrize("seed,mcs,selection", [(7, 5, "leaf"), (9, 4, "eom")])
+def test_merge_heights_are_least_greatest_edges(spark, seed, mcs, selection):
+    x = blobs(seed, spread=0.9, noise=20)
+    forest = cut(density.reachability_forest(frame(spark, x), 3))
+    tree = condensed.merge_tree(forest)
+    clusters = cut(density.density_clusters(forest, frame(spark, x), mcs, selection, tree=tree))
+    label = {r["book_id"]: r["cluster_id"] for r in clusters.collect()}
+    got = {(r["book_id"], r["cluster_id"]): r["w"] for r in membership.merge_heights(tree, clusters, mcs).collect()}
+    far = np.full((len(x), len(x)), np.inf)
+    np.fill_diagonal(far, 0)
+    part = {i: {i} for i in range(len(x))}
+    for r in forest.orderBy("w", "u", "v").collect():  # parts grow edge by edge
+        a, b = part[r["u"]], part[r["v"]]
+        for i in a:
+            for j in b:
+                far[i, j] = far[j, i] = r["w"]
+        for i in a | b:
+            part[i] = a | b
+    named = {c: [i for i in label if label[i] == c] for c in set(label.values()) if c >= 0}
+    want = {(i, c): min(far[i, j] for j in ids) for i in label if label[i] < 0 for c, ids in named.items()}
+    assert len(named) > 1 and got == want
+
+
+def test_common_ancestors_of_a_deep_tree(spark):
+    parent = {0: None, 100: None, 101: 100} | {i: i - 1 for i in range(1, 40)} | {50: 10, 51: 50}
+    nodes = spark.createDataFrame(list(parent.items()), "node bigint, parent bigint")
+    line = lambda n: [n, *(line(parent[n]) if parent[n] is not None else [])]
+    pairs = [(39, 51), (51, 39), (39, 0), (7, 7), (5, 39), (101, 3), (50, 51), (12, 50), (100, 101)]
+    got = {(r["left"], r["right"]): r["top"] for r in membership.common_ancestors(spark.createDataFrame(pairs, "left bigint, right bigint"), nodes).collect()}
+    assert got == {(a, b): next((n for n in line(a) if n in line(b)), None) for a, b in pairs}
+
+
 def test_rescue_with_text_ids_and_nothing_to_do(spark):
     clusters = spark.createDataFrame([("a", 0, 1.0), ("b", 0, 0.5)], "book_id string, cluster_id int, probability double")
     vectors = spark.createDataFrame([("a", [0.0]), ("b", [1.0])], "book_id string, vector array<double>")
