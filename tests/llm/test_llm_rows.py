@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from catalogmap.llm import chat_format, packing, pii, quality_trees, toxicity, url_rules, warc
+from catalogmap.llm import chat_format, packing, pii, quality_trees, queries, toxicity, url_rules, warc
 from catalogmap.llm.queries import public_encoder
 from tests.llm import brute_llm as brute
 
@@ -421,3 +421,12 @@ def test_a_url_does_not_visit_all_rules_of_its_host():
     host._enclosing = lambda at, path: calls.append(at) or plain(at, path)
     assert host.longest("/073210/page") == (73_210,) and host.longest("/0732/page") is None and host.longest("/") is None
     assert len(calls) == 3 and max(host.around) == -1
+
+
+def test_op10_judges_by_the_rules_of_its_contract(spark, tmp_path):
+    rules = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+    urls = [f"http://{h}{p}" for h in ("org", "example.org", "a.example.org", "x.com", "net") for p in ("/", "/es/x", "/en/1", "/en/12?q", "/en/2", "/fr/", "/de/x")]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    got = queries.op10_url_filters(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted((i, *brute.judged(u, rules)) for i, u in enumerate(urls))
