@@ -296,6 +296,18 @@ def test_base_spans(spark, private_texts):
         assert mine == brute.base_spans(private_texts[r.doc_id]), private_texts[r.doc_id]
 
 
+def test_op8_counts_the_spans_of_each_kind(spark, private_texts, tmp_path):
+    texts = [*private_texts, "a@b.co 1.2.3.4 5.6.7.8 x@y.de 4111 1111 1111 1111, +1 (386) 555-3733", "+1 (386) 555-3733"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op8_pii(spark, str(tmp_path)).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        want = brute.base_spans(texts[r.doc_id])
+        counts = [sum(kind == k for kind, _, _ in want) for k in ("email", "ip", "card", "phone")]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == counts, texts[r.doc_id]
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest()
+
+
 def test_disclosing_terms(spark):
     rng = random.Random(2)
     words = ["alpha", "bravo", "delta", "echo", "golf", "hotel", "india", "kilo", "lima", "mike", "oscar", "papa", "romeo", "sierra"]
