@@ -11,7 +11,7 @@ from catalogmap.functions.vectors import l2_normalize as l2
 from catalogmap.operators import approximate, fusion, models, serving
 from catalogmap.operators.neighbors import knn, scan_top_k, with_similarity
 from catalogmap.plans import roles
-from catalogmap.plans.registry import query, table
+from catalogmap.plans.registry import query, table, table_stream
 from catalogmap.session import cut, scratch_dir
 from catalogmap.sources import tables
 from catalogmap.streaming import assign
@@ -255,9 +255,7 @@ def assign_items(spark: SparkSession, sf: str) -> DataFrame:
 def assign_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The same assignment as a stream: files arrive, rows are appended with their cluster."""
     known = roles.vectors(spark, sf)
-    schema = table(spark, sf, "embeddings").schema
-    arriving = spark.readStream.schema(schema).option("pathGlobFilter", "embeddings.parquet").parquet(sf)
-    items = arriving.select(F.col("vec_id").alias("book_id"), F.col("embedding").alias("vector"))
+    items = table_stream(spark, sf, "embeddings").select(F.col("vec_id").alias("book_id"), F.col("embedding").alias("vector"))
     out = f"{scratch_dir(spark)}/assigned-{uuid.uuid4().hex}"
     cents = cut(fusion.centroids(known))
     assign.assign_stream(items, cents, out, f"{out}-state", -1.0).trigger(availableNow=True).start().awaitTermination()
@@ -283,9 +281,7 @@ def cluster_trend(spark: SparkSession, sf: str) -> DataFrame:
 @query(TREND)
 def cluster_trend_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The same trend from a stream of events, with the open days in Spark's state."""
-    schema = table(spark, sf, "events").schema
-    arriving = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    events = arriving.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("cluster_id"))
+    events = table_stream(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("cluster_id"))
     out = f"{scratch_dir(spark)}/trend-{uuid.uuid4().hex}"
     assign.trend_stream(events, out, f"{out}-state").trigger(availableNow=True).start().awaitTermination()
     return _daily(assign.read_trend(spark.read.parquet(out)))

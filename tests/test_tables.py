@@ -1,5 +1,6 @@
 import json
 import math
+import shutil
 
 import numpy as np
 import pytest
@@ -276,6 +277,21 @@ def test_stream_equals_batch(spark, tmp_path):
     assert any(c == -1 for _, c in key(assign.assign_clusters(df, cents, 0.2)))
 
 
+@pytest.mark.parametrize("files", [0, 3])
+def test_stream_queries_read_a_table_of_one_file_or_many(spark, tmp_path, files):
+    from catalogmap.plans import spaces
+
+    for name in ("embeddings", "events"):
+        given = f"/root/testdata/sf0.001/{name}.parquet"
+        if files:
+            spark.read.parquet(given).repartition(files).write.parquet(f"{tmp_path}/{name}.parquet")
+        else:
+            shutil.copy(given, tmp_path)
+    for stream, plain in ((spaces.assign_stream, spaces.assign_items), (spaces.cluster_trend_stream, spaces.cluster_trend)):
+        want = sorted(map(tuple, plain(spark, str(tmp_path)).collect()))
+        assert want and sorted(map(tuple, stream(spark, str(tmp_path)).collect())) == want
+
+
 def test_trend_of_a_stream_with_late_rows(spark, tmp_path):
     batches = [
         [("2024-01-01 12:00", 0), ("2024-01-01 12:00", 0), ("2024-01-01 08:00", 1)],
