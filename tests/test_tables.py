@@ -237,6 +237,25 @@ def test_model_calls_resume(spark, tmp_path):
     assert second == {"a": "later", "b": "later", "c": "THREE"}
 
 
+def test_prompts_of_one_id_keep_their_own_replies(spark, tmp_path):
+    rows = [(i % 40, f"prompt {i}") for i in range(120)] + [(7, "prompt 7")]
+    df = spark.createDataFrame(rows, "item long, prompt string")
+    got = models.run_checkpointed(df, "item", "prompt", str.upper, str(tmp_path / "replies"), parts=3).collect()
+    assert sorted(map(tuple, got)) == sorted((i, p.upper()) for i, p in rows)
+
+
+def test_a_share_reads_its_own_files(spark, tmp_path, monkeypatch):
+    read, plain = [], models.apply_model
+    monkeypatch.setattr(models, "apply_model", lambda share, *args: read.append([r[0] for r in share.select(F.input_file_name()).distinct().collect()]) or plain(share, *args))
+    monkeypatch.setattr(models, "SHARE_PROMPTS", 50)
+    df = spark.range(200).select(F.col("id").alias("item"), F.col("id").cast("string").alias("prompt"))
+    seen = []
+    assert models.run_checkpointed(df, "item", "prompt", str, str(tmp_path / "replies")).count() == 200
+    for files in read:
+        seen += files
+    assert len(read) == 4 and len(seen) == len(set(seen))
+
+
 def test_distill(spark, tmp_path):
     rv = spark.createDataFrame([("a", "long text"), ("a", "x"), ("b", "y")], "book_id string, review_text string")
     out = models.distill_reviews(rv, lambda p: p[-5:], str(tmp_path / "d"), top_n=1).collect()
