@@ -200,6 +200,18 @@ def test_near_copies_come_by_distance(spark):
     assert [r["near"] for r in scan_top_k(asked, df, 2).orderBy("rank").collect()] == [2, 1]
 
 
+def test_scan_hands_out_few_queries_at_a_time(spark, monkeypatch):
+    from catalogmap.operators import neighbors
+
+    monkeypatch.setattr(neighbors, "QUERIES_AT_ONCE", 3)
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(30)], "book_id long, vector array<double>")
+    asked = df.where("book_id % 3 = 0")
+    found, want = scan_top_k(asked, df, 4), neighbors.knn_join(asked, df, 4, "cosine")
+    place = lambda rows: sorted((r["id"], r["rank"], r["near"]) for r in rows.collect())
+    assert place(found) == place(want)
+
+
 def test_embedding_requests(spark):
     seen = []
 
