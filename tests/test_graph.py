@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -260,6 +261,26 @@ def test_silhouette_blocks_agree(spark):
     assert a == b == pytest.approx(np.mean(want), abs=1e-4)
 
 
+def test_silhouette_hands_out_few_sums_per_row():
+    """Of the clusters that pass by whole, a row keeps the least mean alone; its own and unfinished ones keep their sums."""
+    rng = np.random.default_rng(15)
+    x, y = rng.normal(size=(6, 3)), rng.normal(size=(40, 3))
+    held = metrics._DistanceSums(4)
+    held.add(pa.array(range(6)), np.array([0, 0, 1, 1, 9, 9]), x)
+    held.start()
+    out = []
+    for c in range(10):
+        out += held.finished()
+        held.cluster, held.size = c, 4 if c < 9 else 5  # of the last one a row is elsewhere
+        held.meet(y[4 * c : 4 * c + 4])
+    got = pa.Table.from_batches([*out, *held.finished(), held.leasts(3)]).to_pandas()
+    assert got["other"].value_counts().to_dict() == {0: 2, 1: 2, 9: 6, -4: 6}
+    d = np.sqrt(((x[:, None] - y[None]) ** 2).sum(2)).reshape(6, 10, 4).sum(2)
+    least = [min(d[i, c] / 4 for c in range(9) if c != own) for i, own in enumerate([0, 0, 1, 1, 9, 9])]
+    assert got[got["other"] == -4]["s"].tolist() == pytest.approx(least)
+    assert got[got["other"] == 9]["s"].tolist() == pytest.approx(d[:, 9])
+
+
 def test_merge_follows_the_greedy_order(spark):
     rng = np.random.default_rng(15)
     x = rng.normal(size=(40, 2))
