@@ -424,6 +424,34 @@ def test_most_block_pairs_of_clustered_vectors_are_skipped(spark, monkeypatch):
         assert pairs < 8 * blocks < 0.2 * blocks * blocks
 
 
+def test_a_partner_comes_once_to_a_group_of_blocks(spark, monkeypatch):
+    """Without structure every block meets every other; their rows must not move once per pair of blocks."""
+    sent = []
+    dealt = balls._meetings
+
+    def seen(queries, points, pairs, k, skip_self, answers):
+        sizes = points.groupBy(F.col("block").alias("j")).count()
+        moved = pairs.select("g", "part", "j").distinct().join(sizes, "j").agg(F.sum("count")).first()[0]
+        sent.append((moved, pairs.select("g", "part").distinct().count(), pairs.select("g", "i").distinct().count()))
+        return dealt(queries, points, pairs, k, skip_self, answers)
+
+    monkeypatch.setattr(balls, "_meetings", seen)
+    monkeypatch.setattr(balls, "GROUPS", 4)
+    x = np.random.default_rng(21).normal(size=(600, 12))
+    assert as_lists(neighbors.knn(frame(spark, x), 5, "euclidean", 12)) == brute.nearest(brute.distance_matrix(x), 5)
+    moved, tasks, blocks = sent[-1]
+    assert moved <= 8 * len(x) and tasks > 1 and blocks >= 50
+
+
+def test_far_rows_close_together_are_told_apart(spark):
+    """Distances below what single precision sees at this offset, and rows beyond its range."""
+    rng = np.random.default_rng(22)
+    x = np.concatenate([1e4 + rng.normal(size=(60, 4)) * 1e-4, rng.normal(size=(40, 4)) * 1e20])
+    near = neighbors.knn(frame(spark, x), 3, "euclidean", 16)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)).round(9)
+    assert as_lists(near) == brute.nearest(d, 3)
+
+
 def test_blocks_of_dense_rows_are_nested(spark, monkeypatch):
     monkeypatch.setattr(neighbors, "MAX_PIVOTS", 3)
     monkeypatch.setattr(balls, "SPLIT_ROWS", 40)
