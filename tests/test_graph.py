@@ -243,6 +243,37 @@ def test_dbcv_equals_brute_force(spark, block_rows):
     assert got == pytest.approx(brute.dbcv(x, labels), abs=1e-6)
 
 
+def plain_tree(x, core):
+    """Prim's tree with all distances of every row, edges compared as (w, u, v)."""
+    n, now, out = len(x), 0, []
+    best, done = [(np.inf, -1, -1)] * n, [False] * n
+    for _ in range(n - 1):
+        done[now] = True
+        for i in range(n):
+            if not done[i]:
+                d = np.sqrt(((x[i] - x[now]) ** 2).sum()).round(9)
+                best[i] = min(best[i], (max(d, core[i], core[now]), min(i, now), max(i, now)))
+        now = min((b, i) for i, b in enumerate(best) if not done[i])[1]
+        out.append(best[now])
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_local_tree_equals_the_plain_tree(seed):
+    rng = np.random.default_rng(seed)
+    x = rng.integers(0, 4, size=(50, 3)).astype(float) if seed % 2 else rng.normal(size=(50, 3)) * 1e-3 + 1e3
+    core = rng.random(50) * (seed % 3)
+    u, v, w = foreign.local_tree(x, core)
+    assert list(zip(w.tolist(), np.minimum(u, v).tolist(), np.maximum(u, v).tolist(), strict=True)) == plain_tree(x, core)
+
+
+def test_inverse_powers():
+    """Powers by squaring equal those of the definition, and equal points add nothing."""
+    d = np.array([[0.0, 0.5], [2.0, 1e-3]])
+    for dim in (1, 2, 7, 64):
+        assert metrics.inverse_powers(d, dim) == pytest.approx(np.array([[0.0, 2.0**dim], [0.5**dim, 1e3**dim]]))
+
+
 def test_dbcv_below_its_limits(spark):
     assert metrics.dbcv(frame(spark, np.zeros((5, 2)), [0, 0, 1, 1, 1])).first()[0] == -1.0
     assert metrics.dbcv(frame(spark, np.eye(12), [0] * 12)).first()[0] == -1.0
