@@ -7,6 +7,7 @@ from catalogmap.functions import text as tx
 from catalogmap.operators import documents as docs
 from catalogmap.operators import keywords as kw
 from catalogmap.operators import metrics
+from catalogmap.plans import panel
 
 
 def one(spark, value, build, ddl="v string"):
@@ -161,3 +162,13 @@ def test_coherence_equals_brute_force(spark):
     got = metrics.coherence_cv(labels, docs_df, window=5).first()[0]
     assert got == pytest.approx(brute_coherence([["red", "fox", "dog"], ["sun", "sea", "sky"]], texts, 5), abs=1e-9)
     assert metrics.coherence_cv(labels.where("cluster_id > 0"), docs_df).first()[0] is None
+
+
+def test_gate_finds_the_scored_clusters_once(spark, monkeypatch):
+    """Both runs of the gate score the same labels and clusters."""
+    asked, scored = [], []
+    docs = spark.createDataFrame([(1, 1)], "book_id bigint, cluster_id int")
+    monkeypatch.setattr(panel, "_inputs", lambda *_: asked.append(1) or (docs,) * 4)
+    monkeypatch.setattr(panel, "_panel", lambda spark, sf, core_only, inputs: scored.append((core_only, inputs)) or spark.createDataFrame([("m", 1.0)], "metric string, value double"))
+    assert panel.metric_gate(spark, "").first()["ok"]
+    assert len(asked) == 1 and [c for c, _ in scored] == [True, False] and scored[0][1] is scored[1][1]
