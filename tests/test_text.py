@@ -92,6 +92,18 @@ def test_distill_prompt_cuts_and_orders(spark):
     assert prompt.endswith("Reviews:\n- " + "s" * 600 + "\n\n- uuuuu")
 
 
+def test_terms_are_counted_in_small_tasks(spark, monkeypatch):
+    monkeypatch.setattr(kw, "TASK_CHARS", 200)
+    rows = [(i, i % 3 if i < 90 else 0, "red fox" if i < 90 else "red fox runs far") for i in range(300)]
+    df = spark.createDataFrame(rows, "book_id long, cluster_id int, doc_text string").union(spark.createDataFrame([(300, None, None)], "i long, c int, t string"))
+    held = kw.by_cluster(df.repartition(1)).groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.countDistinct("cluster_id").alias("c")).collect()
+    assert sum(r["n"] for r in held) == 301
+    # copies of one text spread, and few tasks hold more than one cluster
+    assert max(r["n"] for r in held) < 60 and sum(r["c"] > 1 for r in held) <= 3
+    got = {(r["cluster_id"], r["term"]): r["tf"] for r in kw.cluster_terms(df).collect()}
+    assert got[0, "red fox"] == 240 and got[2, "red fox"] == 30 and got[0, "runs far"] == 210 and len(got) == 13
+
+
 def test_keywords_formula(spark):
     rows = [(0, "red fox red"), (1, "red dog"), (2, "dog dog fox")]
     df = spark.createDataFrame(rows, "cluster_id int, doc_text string")
