@@ -125,6 +125,30 @@ def test_forest_of_few_rows(spark):
         assert foreign.exact_forest(pts, near, 16).count() == len(x) - 1
 
 
+def test_a_partner_comes_once_to_a_group_of_asking_blocks(spark, monkeypatch):
+    """Without structure most blocks ask for most others; their rows must not move once per pair of blocks."""
+    seen, plain = [], foreign._dealt
+
+    def counted(pairs, groups):
+        dealt = plain(pairs, groups)
+        asking, asked = pairs.agg(F.countDistinct("i"), F.countDistinct("j")).first()
+        seen.append((pairs.count(), dealt.count(), asking, asked, dealt.agg(F.countDistinct("g")).first()[0]))
+        return dealt
+
+    monkeypatch.setattr(foreign, "_dealt", counted)
+    x = np.random.default_rng(31).normal(size=(400, 8))
+    df = frame(spark, x)
+    near = cut(neighbors.knn(df, 5, "euclidean", 20))
+    pts = df.select(F.col("book_id").alias("id"), F.col("vector").alias("vec")).join(graph.core_distances(near, 4), "id")
+    tree = foreign.exact_forest(cut(pts), near, 20).collect()
+    m = brute.reachability(brute.distance_matrix(x), 4)
+    want = brute.kruskal([(m[i, j], i, j) for i in range(len(x)) for j in range(i + 1, len(x))])
+    assert sorted((r["u"], r["v"]) for r in tree) == sorted((u, v) for _, u, v in want)
+    pairs, sent, asking, asked, groups = seen[0]
+    assert asking > 4
+    assert sent <= groups * asked and pairs > 2 * sent
+
+
 def test_the_inside_of_a_part_is_passed_over(spark, monkeypatch):
     rng = np.random.default_rng(9)
     x = np.vstack([rng.normal(20 * c, 1, (200, 4)) for c in range(6)])
