@@ -1,3 +1,5 @@
+import threading
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -408,6 +410,13 @@ def test_reducer_choice_and_guard(spark):
     assert reduce.choose_reducer({"a": a, "b": b}, lambda d: scores[id(d)], min_clusters=5)[0] == "b"
 
 
+def test_candidates_are_made_and_scored_side_by_side(spark):
+    both = threading.Barrier(2, timeout=30)  # breaks where one candidate waits for the other
+    made = lambda: (both.wait(), spark.range(1))[1]
+    best, report = reduce.choose_reducer({"a": made, "b": made}, lambda df: (float(both.wait() >= 0), 5), 3)
+    assert best == "a" and [(r["reducer"], r["chosen"]) for r in report.collect()] == [("a", True), ("b", False)]
+
+
 def test_search_space_and_tuning(spark):
     assert tuning.search_space(5000) == {"min_cluster_size": (12, 300), "min_samples": (3, 50)}
     assert tuning.search_space(100) == {"min_cluster_size": (12, 22), "min_samples": (3, 50)}
