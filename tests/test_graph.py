@@ -402,6 +402,31 @@ def test_spectrum_against_dense_eigenvectors(spark, density_aware):
     assert angles.min() > 1 - 1e-4  # the same subspace
 
 
+def test_spectrum_over_blocks_writes_one_table_per_filter(spark, monkeypatch):
+    x = blobs(18, noise=3, dim=4)
+    near = cut(neighbors.knn(frame(spark, x), 12, "euclidean"))
+    edges = cut(reduce.fuzzy_graph(near))
+    w = np.zeros((len(x), len(x)))
+    for r in edges.collect():
+        w[r.u, r.v] = w[r.v, r.u] = r.w
+    half = 1 / np.sqrt(w.sum(1))
+    a = w * half[:, None] * half[None, :]
+    axes = np.linalg.eigh(a)[1]
+    written, filters = [], []
+    gram = reduce._gram
+    monkeypatch.setattr(reduce, "cut", lambda df: (written.append(1), cut(df))[1])
+    monkeypatch.setattr(reduce, "_gram", lambda *of: (filters.append(1), gram(*of))[1])
+    monkeypatch.setattr(reduce, "MATRIX_ROWS", 20, raising=False)
+    named = edges.select(F.format_string("n%03d", "u").alias("u"), F.format_string("n%03d", "v").alias("v"), "w")
+    for tolerance in (1e-4, 1e-7):  # coordinates move in single and in double precision
+        found = reduce.spectrum(named, 4, tolerance)
+        got = np.array([r.vector for r in found.vectors.orderBy("id").collect()])
+        assert [r.id for r in found.vectors.orderBy("id").collect()] == [f"n{i:03d}" for i in range(len(x))]
+        assert np.linalg.norm(a @ got - got * np.array(found.values), axis=0).max() <= 1.1 * tolerance
+        assert np.linalg.svd(axes[:, -5:-1].T @ got, compute_uv=False).min() > 1 - 1e-4
+    assert len(written) == len(filters) + 4  # per run the matrix and the result
+
+
 def test_reducer_choice_and_guard(spark):
     a, b = frame(spark, np.eye(2)), frame(spark, np.eye(2))
     scores = {id(a): (0.9, 2), id(b): (0.4, 12)}
