@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import brute
 from catalogmap.operators import approximate, balls, condensed, density, foreign, graph, membership, merging, metrics, neighbors, reduce, tuning
-from catalogmap.session import cut
+from catalogmap.session import cut, cut_counted
 
 
 def frame(spark, x, labels=None):
@@ -234,6 +234,23 @@ def test_levels_are_nested(spark):
         assert [of[level, i] for i in range(90)] == list(brute.merge_tree_clusters(edges, 90, size, "leaf"))
 
 
+def test_levels_send_no_table_with_a_row_per_node_to_the_driver(spark, monkeypatch):
+    edges = shaped_tree("random", 90)
+    forest = spark.createDataFrame([(u, v, w) for w, u, v in edges], "u bigint, v bigint, w double")
+    plans = []
+
+    def noted(write):
+        return lambda df, *rest: (plans.append(df._jdf.queryExecution().executedPlan().toString()), write(df, *rest))[1]
+
+    for module in (density, condensed, graph):
+        monkeypatch.setattr(module, "cut", noted(cut))
+        monkeypatch.setattr(module, "cut_counted", noted(cut_counted))
+    nodes = spark.range(90).withColumnRenamed("id", "book_id")
+    plans.append(density.cluster_levels(forest, nodes, [3, 6, 12])._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) > 10
+    assert not [p for p in plans if "BroadcastHashJoin" in p and "_p#" not in p]  # but for a row per partition
+
+
 def test_long_chain_of_growing_gaps(spark):
     n = 200
     rows = [(i, i + 1, 1.0 + i) for i in range(n)]
