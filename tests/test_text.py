@@ -138,6 +138,27 @@ def test_panel_isolates_failures(spark):
     assert {r["metric"]: r["ok"] for r in gate.collect()} == {"x": False, "y": False}
 
 
+def test_a_failed_metric_does_not_look_like_a_result(spark, monkeypatch):
+    """A null that was computed, a failure and a frame without a row are told apart; the queries' panel raises."""
+    good = spark.createDataFrame([(0.5, None)], "x double, nothing_to_score double")
+    made = metrics.evaluate_panel(spark, {"x": lambda: good, "bad": lambda: good.select("no_such"), "empty": lambda: good.limit(0)})
+    errors = {r["metric"]: r["error"] for r in made.collect()}
+    assert errors["x"] is None and errors["nothing_to_score"] is None
+    assert "no_such" in errors["bad"] and "no row" in errors["empty"]
+    assert {tuple(r) for r in metrics.whole_panel(made.where("error is null")).collect()} == {("x", 0.5), ("nothing_to_score", None)}
+
+    def broken(*_):
+        raise MemoryError("out of memory in dbcv")
+
+    for name in ("cluster_counts", "silhouette", "dbcv", "coherence_cv", "agreement", "judge_rollup"):
+        monkeypatch.setattr(metrics, name, broken if name == "dbcv" else lambda *_: good)
+    monkeypatch.setattr(panel.kw, "topic_diversity", lambda *_: good)
+    monkeypatch.setattr(panel, "table", lambda *_: spark.createDataFrame([(1, 1, "u3")], "doc_id bigint, quality int, url string"))
+    docs = spark.createDataFrame([(1, 1)], "book_id bigint, cluster_id int")
+    with pytest.raises(RuntimeError, match="dbcv: MemoryError"):
+        panel._panel(spark, "", False, (docs,) * 4)
+
+
 def brute_coherence(topics, texts, window):
     windows = []
     vocabulary = {w for t in topics for w in t}
