@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalogmap.llm.rows import map_rows
-from catalogmap.session import cut, cut_counted
+from catalogmap.session import cut, cut_counted, shuffled
 
 MASKS = ("111011011", "1101101011", "1110010111")
 #: Items shorter than the longest mask are also looked up whole.
@@ -241,8 +241,10 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame, least_tokens: int
                 start, length, matched = max(valid, key=lambda s: (s[2], -s[1], -s[0]))
                 yield doc_id, key, item_id, start, length, matched, len(item)
 
+    # the hits of a pair are runs of small numbers: a few MB on disk, a hundred times that in a hash table on the driver
+    held = hit.select("doc", "doc_id", "text_key", F.col("tokens").alias("doc_tokens")).dropDuplicates(["doc"])
     sides = (
-        pairs.join(hit.select("doc", "doc_id", "text_key", F.col("tokens").alias("doc_tokens")).dropDuplicates(["doc"]), "doc")
+        pairs.join(shuffled(held), "doc")
         .join(items.select("item", "item_id", F.col("tokens").alias("item_tokens")).dropDuplicates(["item"]), "item")
         .select("doc_id", "text_key", "item_id", "doc_tokens", "item_tokens", "met")
     )

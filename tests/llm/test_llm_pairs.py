@@ -207,6 +207,15 @@ def test_decontamination(spark):
     assert all(r.length >= r.matched >= 0.8 * r.length and r.start >= 0 for r in found)
 
 
+def test_hits_of_pairs_do_not_go_to_the_driver(spark):
+    """The hits of a pair take little room on disk and much in a hash table: they meet their documents by a shuffle."""
+    docs, items = contamination_case(11)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = decontaminate.contaminated_texts(spark.createDataFrame(rows_of(docs), DOCS), bench)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [doc#" in plan and "BroadcastHashJoin [doc#" not in plan
+
+
 def test_any_stretch_by_the_stated_rule():
     """A stretch is found exactly if some stretch of 13 tokens (or the whole short item) is 80 % equal."""
     rng, item = random.Random(17), np.arange(1000, 1200)
