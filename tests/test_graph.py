@@ -69,6 +69,21 @@ def test_scan_equals_join(spark):
     assert as_lists(scanned) == {k: v for k, v in as_lists(neighbors.knn(df, 6)).items() if k < 5}
 
 
+@pytest.mark.parametrize("asked_type,known_type", [("string", "bigint"), ("bigint", "string"), ("string", "string")])
+def test_many_queries_may_have_ids_of_another_type(spark, monkeypatch, asked_type, known_type):
+    """Queries too many to be sent to all tasks take the block join, whatever the types of both ids; copies included."""
+    x = np.random.default_rng(14).normal(size=(150, 4))
+    x[40:44] = x[39]
+    typed = lambda kind: frame(spark, x).withColumn("book_id", F.col("book_id").cast(kind))
+    asked, known = typed(asked_type).where("cast(book_id as int) >= 100"), typed(known_type)
+    few = neighbors.scan_top_k(asked, known, 6)
+    monkeypatch.setattr(neighbors, "MAX_BROADCAST_BYTES", 800)  # and 25 pivots at most
+    many = neighbors.scan_top_k(asked, known, 6)
+    assert [f.dataType.simpleString() for f in many.schema][:2] == [asked_type, known_type]
+    rows = lambda df: sorted((str(r["id"]), r["rank"], str(r["near"]), round(r["similarity"], 9)) for r in df.collect())
+    assert len(rows(many)) == 300 and rows(many) == rows(few)
+
+
 def test_components_and_forest(spark):
     rng = np.random.default_rng(5)
     edges = [(float(round(rng.uniform(), 6)), int(a), int(b)) for a, b in rng.integers(0, 60, (70, 2)) if a != b]
