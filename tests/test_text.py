@@ -1,4 +1,5 @@
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from catalogmap.operators import documents as docs
 from catalogmap.operators import keywords as kw
 from catalogmap.operators import metrics
 from catalogmap.plans import panel
+from catalogmap.session import cut
 
 
 def one(spark, value, build, ddl="v string"):
@@ -104,6 +106,34 @@ def test_terms_are_counted_in_small_tasks(spark, monkeypatch):
     assert got[0, "red fox"] == 240 and got[2, "red fox"] == 30 and got[0, "runs far"] == 210 and len(got) == 13
 
 
+def test_counts_of_terms_move_once(spark, monkeypatch):
+    """Tasks count what they hold; the counts then go to their term, where the clusters of a term are counted too."""
+    plans = []
+    monkeypatch.setattr(kw, "cut", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), cut(df))[1])
+    rows = [(i, i % 3, f"red fox word{i % 7} runs") for i in range(60)] + [(60, None, "red fox"), (61, 5, "red")]
+    df = spark.createDataFrame(rows, "book_id long, cluster_id int, doc_text string").repartition(3)
+    found = kw.ctfidf_keywords(df, top_k=100, min_df=4)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert sum(len(re.findall(r"Exchange hashpartitioning\([^)]*term#", p)) for p in plans) == 1  # the parts of a cluster go by ranges
+    got = {(r["cluster_id"], r["term"]): r["score"] for r in found.collect()}
+    # red is in five clusters, the null one among them, and fox and red fox in four; four clusters have a number
+    tf, idf = {"red": 20, "fox": 20, "red fox": 20}, {"red": math.log1p(4 / 6), "fox": math.log1p(4 / 5), "red fox": math.log1p(4 / 5)}
+    want = {(c, t): tf[t] / 60 * idf[t] for c in range(3) for t in tf} | {(5, "red"): idf["red"]}
+    assert got == pytest.approx(want, abs=2e-9)
+
+
+def test_prompts_leave_the_texts_of_other_books_where_they_are(spark):
+    # Spark does not know how few rows a rank leaves
+    reps = spark.range(1 << 21).selectExpr("cast(id % 2 as int) as cluster_id", "id as book_id").withColumn("rank", F.expr("row_number() over (partition by cluster_id order by book_id)"))
+    words = spark.createDataFrame([(0, "red, fox")], "cluster_id int, keywords string")
+    books = spark.range(1000).selectExpr("id as book_id", "cast(id as string) as title", "repeat('text', 9) as description")
+    said = spark.range(1000).selectExpr("id as book_id", "'good' as review_text")
+    found = docs.label_prompts(reps, words, books, said)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("LeftSemi, BuildRight") == 2 and "SortMergeJoin [book_id" not in plan
+    assert "2: texttext" in found.first()["prompt"]
+
+
 def test_keywords_formula(spark):
     rows = [(0, "red fox red"), (1, "red dog"), (2, "dog dog fox")]
     df = spark.createDataFrame(rows, "cluster_id int, doc_text string")
@@ -197,6 +227,23 @@ def test_coherence_equals_brute_force(spark):
     assert metrics.coherence_cv(labels.where("cluster_id > 0"), docs_df).first()[0] is None
 
 
+def test_coherence_writes_no_texts_and_finds_the_keywords_once(spark, monkeypatch):
+    """Of the texts only the places of the topics' words are written, and the labels are computed in one job."""
+    written, plans = [], []
+
+    def noted(df):
+        written.append(df.columns)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(metrics, "cut", noted)
+    labels = spark.createDataFrame([(0, "red, fox"), (1, "sun, sea")], "cluster_id int, keywords string").withColumn("keywords", F.concat("keywords", F.lit(", labelled")))
+    docs_df = spark.createDataFrame([(0, "red fox sun sea filler"), (1, "red sun"), (2, "sea labelled fox")], "book_id bigint, doc_text string")
+    assert metrics.coherence_cv(labels, docs_df, window=2).first()[0] is not None
+    assert not [c for c in written if "w" in c]
+    assert sum("labelled" in p for p in plans) == 1
+
+
 def test_gate_finds_the_scored_clusters_once(spark, monkeypatch):
     """Both runs of the gate score the same labels and clusters."""
     asked, scored = [], []
