@@ -115,6 +115,7 @@ def test_counts_of_terms_move_once(spark, monkeypatch):
     found = kw.ctfidf_keywords(df, top_k=100, min_df=4)
     plans.append(found._jdf.queryExecution().executedPlan().toString())
     assert sum(len(re.findall(r"Exchange hashpartitioning\([^)]*term#", p)) for p in plans) == 1  # the parts of a cluster go by ranges
+    assert sum("tf_sum" in p for p in plans[:-1]) == 1  # written by itself: a row per cluster does not make the terms move
     got = {(r["cluster_id"], r["term"]): r["score"] for r in found.collect()}
     # red is in five clusters, the null one among them, and fox and red fox in four; four clusters have a number
     tf, idf = {"red": 20, "fox": 20, "red fox": 20}, {"red": math.log1p(4 / 6), "fox": math.log1p(4 / 5), "red fox": math.log1p(4 / 5)}
