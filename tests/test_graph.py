@@ -398,6 +398,31 @@ def test_rescue_takes_the_nearest_cluster(spark):
         assert got[4] == (0, 0.0) and got[5][0] == -1 and got[0] == (0, 1.0)
 
 
+@pytest.mark.parametrize("chunk_rows", [7, 1000])
+def test_rescue_returns_a_row_per_noise_row_and_chunk(spark, monkeypatch, chunk_rows):
+    """Not one per noise row and cluster; ties, copies and a cluster of more exemplars than a chunk holds included."""
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps
+
+    rng = np.random.default_rng(31)
+    x = rng.normal(size=(160, 3)).round(1)
+    label = [-1] * 60 + [0] * 20 + [1 + i // 2 for i in range(80)]
+    x[81], x[83] = x[80], x[80]  # exemplars of clusters 1 and 2 in one place
+    x[0] = x[80]
+    clusters = spark.createDataFrame([(i, c, 0.0 if c < 0 else 1.0) for i, c in enumerate(label)], "book_id bigint, cluster_id int, probability double")
+    met, apply = [], PandasCogroupedOps.applyInPandas
+    monkeypatch.setattr(PandasCogroupedOps, "applyInPandas", lambda self, fn, schema: (met.append(apply(self, fn, schema)), met[-1])[1])
+    got = {r["book_id"]: r for r in merging.rescue_noise(clusters, frame(spark, x).drop("cluster_id"), 0.05, True, chunk_rows).collect()}
+    for i in range(60):
+        d = {c: min(np.linalg.norm(x[i] - x[j]) for j in range(60, 160) if label[j] == c) for c in range(41)}
+        pull = {c: 1 / max(v, 1e-9) for c, v in d.items()}
+        best = max(pull, key=lambda c: (round(pull[c], 9), -c))
+        share = pull[best] / sum(pull.values())
+        assert got[i]["cluster_id"] == (best if share > 0.05 else -1)
+        assert got[i]["probability"] == pytest.approx(share if share > 0.05 else 0.0)
+    # 15 chunks, and the large cluster is in as many: one row more for each
+    assert met[0].count() <= 60 * (2 * 15 + 2 if chunk_rows == 7 else 2)
+
+
 def test_spectral_map_keeps_blobs_apart(spark):
     x = blobs(16, noise=0, dim=4)
     near = cut(neighbors.knn(frame(spark, x), 10, "euclidean"))
