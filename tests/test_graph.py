@@ -632,3 +632,19 @@ def test_approximate_neighbours_of_clustered_vectors(spark, monkeypatch, more):
 def test_approximate_neighbours_of_nothing(spark):
     assert approximate.approximate_knn(frame(spark, np.zeros((0, 2)))).count() == 0
     assert approximate.approximate_knn(frame(spark, np.ones((1, 2)))).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_refined_pairs_carry_no_vectors(spark, monkeypatch, kind):
+    """The vectors move once per block of rows, whatever the number of pairs."""
+    for name, value in (("BLOCK_ROWS", 16), ("FEW_ROWS", 8), ("PAIRS_AT_ONCE", 5)):
+        monkeypatch.setattr(approximate, name, value)
+    x = np.random.default_rng(8).normal(size=(90, 3))
+    points = cut(frame(spark, x).select(F.col("book_id").cast(kind).alias("id"), F.col("vector").cast("array<double>").alias("vec")))
+    pairs = cut(points.select("id").crossJoin(points.select(F.col("id").alias("near"))).where("id <> near"))
+    found = approximate._measured(pairs, points, 90)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1  # pairs and blocks, dealt by the block
+    got = {(int(r["id"]), int(r["near"])): r["dist"] for r in found.collect()}
+    d = brute.distance_matrix(x)
+    assert len(got) == 90 * 89 and all(v == pytest.approx(d[i, j], abs=1e-9) for (i, j), v in got.items())
