@@ -266,6 +266,22 @@ def test_levels_send_no_table_with_a_row_per_node_to_the_driver(spark, monkeypat
     assert not [p for p in plans if "BroadcastHashJoin" in p and "_p#" not in p]  # but for a row per partition
 
 
+def test_stable_clusters_send_no_table_with_a_row_per_node_to_the_driver(spark, monkeypatch):
+    edges = shaped_tree("random", 90)
+    forest = spark.createDataFrame([(u, v, w) for w, u, v in edges], "u bigint, v bigint, w double")
+    plans = []
+
+    def noted(write):
+        return lambda df, *rest: (plans.append(df._jdf.queryExecution().executedPlan().toString()), write(df, *rest))[1]
+
+    for name, write in (("cut", cut), ("cut_counted", cut_counted)):
+        monkeypatch.setattr(condensed, name, noted(write))
+    found = density.density_clusters(forest, spark.range(90).withColumnRenamed("id", "book_id"), 4, "eom")
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) > 10
+    assert not [p for p in plans if "BroadcastHashJoin" in p and "_p#" not in p]  # but for a row per partition
+
+
 def test_long_chain_of_growing_gaps(spark):
     n = 200
     rows = [(i, i + 1, 1.0 + i) for i in range(n)]
